@@ -168,13 +168,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", min_cha
         suspects = suspects.join(ids.select("rk", "doc_id"), "rk")
         suspects = staged(suspects, "line-suspects")
         first = F.min(F.struct("doc_id", "rk")).alias("first")
-        keys = suspects.groupBy("key").agg(F.count("*").alias("n"), first).filter(F.col("n") >= min_docs)
+        keys = staged(suspects.groupBy("key").agg(F.count("*").alias("n"), first).filter(F.col("n") >= min_docs), "line-keys")
         hit = suspects.join(keys.select("key", F.col("first.rk").alias("first_rk")), "key")
         rest = F.expr("slice(lines, 2, greatest(size(lines) - 1, 0))")
         hit = hit.select("rk", F.when(F.col("rk") == F.col("first_rk"), rest).otherwise(F.col("lines")).alias("lines"))
     else:
         suspects = staged(suspects, "line-suspects")
-        keys = suspects.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
+        # staged, so that the join reads two plain exchanges, of which Spark can split a hot key's
+        keys = staged(suspects.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs), "line-keys")
         hit = suspects.join(keys.select("key"), "key").select("rk", "lines")
     drop = hit.groupBy("rk").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("drop"))
     columns = docs.columns

@@ -197,3 +197,19 @@ def shingles(word: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray,
     acc, row = acc[order], row[order]
     keep = np.r_[True, (acc[1:] != acc[:-1]) | (row[1:] != row[:-1])]
     return acc[keep], row[keep]
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str], name: str, first: Column | None = None, buckets: int = 64) -> DataFrame:
+    """Adds a gapless rank from 0 within each group of by, without bringing a group together: rows are ranked in buckets
+    of order's hash, and each bucket starts where the ones before it end. Lower first comes first; within that the order
+    is fixed by order alone. Rows that are equal in order are interchangeable. by and order must not be null."""
+    from pyspark.sql import Window
+
+    tier = F.lit(0) if first is None else first
+    df = df.withColumn("_tier", tier.cast("int")).withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    keys = [*by, "_tier", "_bucket"]
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_tier", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    rows = df.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    return rows.join(starts, keys).withColumn(name, (F.col("_start") + F.col("_row")).cast("long")).drop("_tier", "_bucket", "_start", "_row")
