@@ -11,6 +11,8 @@ length's pieces, so Spark places every piece by its rank within its length and o
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from array import array
 
@@ -22,39 +24,79 @@ from pyspark.sql import functions as F
 from .shared import ranked, slices, staged
 
 #: Chunks between blanks whose ids a worker remembers, and the longest chunk that it remembers, in characters.
-REMEMBERED, LONGEST = 400_000, 64
-_ids: dict[str, dict[str, bytes]] = {}
-_tokenizers: dict[str, object] = {}
+REMEMBERED, LONGEST = 900_000, 64
+#: Words that are encoded in one call.
+TOGETHER = 2000
+_WORD = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~].*)?", re.S)
+_known: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
-    if path not in _tokenizers:
+    """The tokenizer, which ids end a word, and the remembered ids of chunks."""
+    if path not in _known:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+        made = Tokenizer.from_file(path)
+        ends = np.zeros(made.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in made.get_vocab(with_added_tokens=False).items():
+            ends[i] = token.endswith("</w>")
+        _known[path] = made, ends, {"": b""}
+    return _known[path]
+
+
+def _encode(made, chunks: list[str]) -> list[bytes]:
+    return [array("I", x.ids).tobytes() for x in made.encode_batch_fast(chunks, add_special_tokens=False)]
+
+
+def _encode_words(made, ends: np.ndarray, words: list[str]) -> list[bytes]:
+    """Ids of words of letters only, many to a call: an id that ends a word ends one of them."""
+    ids = np.array(made.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+    after = np.flatnonzero(ends[ids]) + 1
+    if len(after) != len(words):  # a letter whose lower case is not one letter
+        return _encode(made, words)
+    raw, at = ids.tobytes(), [0, *(4 * after).tolist()]
+    return [raw[a:b] for a, b in zip(at, at[1:])]
 
 
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers.
 
-    The vocabulary's pre-tokenizer drops white space and never joins across it, so the ids of a text are those of its
-    chunks between blanks and line ends, and each distinct chunk is encoded once. tests hold this against whole texts.
+    The vocabulary's pre-tokenizer drops white space, never joins across it, and ends a run of letters before an ASCII sign.
+    So the ids of a text are those of its chunks between blanks and line ends, those of a chunk are its leading word's and
+    its rest's, and each distinct word is encoded once. tests hold this against whole texts.
     """
-    known = _ids.setdefault(path, {"": b""})
+    made, ends, known = _tokenizer(path)
     chunks = [x.replace("\n", " ").split(" ") for x in texts]
-    new = list(set().union(*chunks).difference(known)) if chunks else []
-    extra: dict[str, bytes] = {}
+    new = set().union(*chunks).difference(known) if chunks else set()
+    if len(known) + 2 * len(new) > REMEMBERED:
+        known.clear()
+        known[""] = b""
+        new = set().union(*chunks).difference(known)
+    once: dict[str, bytes] = {}
     if new:
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-            new = list(set().union(*chunks))
-        for chunk, got in zip(new, _tokenizer(path).encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (known if len(chunk) <= LONGEST else extra)[chunk] = array("I", got.ids).tobytes()
-    if extra:
-        return [b"".join([known[x] if x in known else extra[x] for x in own]) for own in chunks]
+        parts, words, rests = [], set(), set()
+        for x in new:
+            m = _WORD.fullmatch(x) if len(x) <= LONGEST else None
+            if m and (m[1].isascii() or unicodedata.normalize("NFC", m[1]).lower().isalpha()):
+                word, rest = m[1], m[2] or ""
+                words.add(word)
+                if rest:
+                    rests.add(rest)
+                    parts.append((x, word, rest))
+            else:
+                rests.add(x)
+        words = [x for x in words if x not in known]
+        for k in range(0, len(words), TOGETHER):
+            own = words[k : k + TOGETHER]
+            known.update(zip(own, _encode_words(made, ends, own), strict=True))
+        rests = [x for x in rests if x not in known]
+        for x, ids in zip(rests, _encode(made, rests), strict=True):
+            (known if len(x) <= LONGEST else once)[x] = ids
+        for x, word, rest in parts:
+            known[x] = known[word] + known[rest]
+    if once:
+        return [b"".join([known[x] if x in known else once[x] for x in own]) for own in chunks]
     return [b"".join(map(known.__getitem__, own)) for own in chunks]
 
 
