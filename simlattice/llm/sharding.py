@@ -126,7 +126,8 @@ def shard_rows(docs: DataFrame, links: DataFrame | None = None, shards: int = 16
     slim = slim.withColumn("node", F.col("_part").cast("long") * F.lit(1 << 40) + F.row_number().over(Window.partitionBy("_part").orderBy("_id", "_text")))
     slim = staged(slim.drop("_part"), "rows")
     if links is None:
-        sizes = slim.groupBy("_text").agg(F.count("*").alias("_n")).filter("_n > 1")
+        # staged, so that Spark can split the rows of a large group in the join
+        sizes = staged(slim.groupBy("_text").agg(F.count("*").alias("_n")).filter("_n > 1"), "groups")
         members = slim.join(sizes, "_text").select("node", F.col("_text").alias("grp"), F.lit(1).cast("long").alias("weight"))
     else:
         own = links.filter("doc_id is not null and grp is not null").select(F.col("doc_id").cast("string").alias("_id"), "grp").distinct()
