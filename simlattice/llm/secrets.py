@@ -8,35 +8,132 @@ Places are code points, end exclusive. They follow from the pieces between match
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: A text without this has no assign span: the same with at least 8 characters after it.
 ASSIGN_ANY = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
-CANDIDATE = r"[A-Za-z0-9+/_=-]+"
+#: Runs that are long enough: a maximal run matches as a whole or not at all, so the least length can stand in the pattern.
+ACCESS = r"AKIA[A-Z0-9]{12,}"
+HEX = r"[0-9a-f]{32,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "entropy")
-
+WINDOW = 20
+#: Bits a character that a window must reach, by class: digits and a-f only, or any key characters.
+LEAST_HEX, LEAST_ANY = 2.95, 3.62
 #: Candidates that are no secrets, whole or by a part: fixed values.
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",  # a UUID
     r"(?i)example|placeholder|changeme|lorem|xxxx|redacted",
     r"(?i)0123456789|abcdefghijkl|qwertyuiop",
-    r"^[0-9+/_=-]+$",  # numbers, rules
-    r"^/|//",  # paths and URLs
+    r"^[0-9+/_=-]+$",  # numbers and rules
+    r"^[A-Za-z+/_=-]+$",  # words, with or without joints
+    r"//|/[^/]*/[^/]*/",  # URLs and paths
 )
+_PLACE = "array<struct<start:int,kind:int,end:int>>"
+
 
+def _places(text: Column, pattern: str, kind: int, group: int | None = None, least: int = 0) -> Column:
+    """array<struct<start, kind, end, hit>> of the pattern's leftmost matches whose group has the least length.
 
-def _places(text: Column, pattern: str, keep=None, group: int | None = None, least: int = 0) -> Column:
-    """array<struct<start, end, hit>> of the pattern's leftmost matches that are long enough."""
+    The split's pieces and the matches alternate, so a running sum of their lengths gives the places."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    sizes = F.zip_with(F.transform(between, F.length), F.transform(hits, F.length), lambda a, b: F.struct(F.coalesce(a, F.lit(0)).alias("gap"), F.coalesce(b, F.lit(0)).alias("len")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    found = F.aggregate(sizes, start, lambda s, x: F.struct((s["at"] + x["gap"] + x["len"]).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["len"]).alias("end")))).alias("out")), lambda s: s["out"])
     part = hits if group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    both = F.zip_with(F.zip_with(hits, part, lambda h, p: F.struct(h.alias("hit"), F.length(p).alias("n"))), F.slice(found, 1, F.size(hits)), lambda h, f: F.struct(f["start"].alias("start"), f["end"].alias("end"), h["hit"].alias("hit"), h["n"].alias("n")))
-    return F.filter(both, lambda x: x["n"] >= least)
+    # the pieces are one more than the matches
+    steps = F.zip_with(F.zip_with(hits, part, lambda h, p: F.struct(h.alias("hit"), p.alias("part"))), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), lambda x, gap: F.struct(F.length(gap).alias("gap"), x["hit"].alias("hit"), F.length(x["part"]).alias("n")))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,hit:string>>").alias("out"))
+
+    def add(s: Column, x: Column) -> Column:
+        start, end = s["at"] + x["gap"], s["at"] + x["gap"] + F.length(x["hit"])
+        new = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("hit")))
+        return F.struct(end.alias("at"), F.when(x["n"] >= least, F.concat(s["out"], new)).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(steps, none, add, lambda s: s["out"])
+
+
+def _plain(places: Column) -> Column:
+    return F.transform(places, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+
+def _highest(s: Column, window: int) -> Column:
+    """The highest Shannon entropy, in bits a character, of s's windows, from sums of n*log2(n) over a window's counts n."""
+    weigh = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 1)])
+
+    def weight(n: Column) -> Column:
+        return F.element_at(weigh, n + 1)
+
+    def count(where: Column, char: Column) -> Column:
+        return F.length(where) - F.length(F.replace(where, char, F.lit("")))
+
+    first = F.substring(s, 1, window)
+    total = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda sum_, c: sum_ + F.when(c == "", 0.0).otherwise(weight(count(first, c))))
+
+    def slide(state: Column, i: Column) -> Column:
+        both = F.substr(s, i + 1, F.lit(window - 1))
+        left, entered = count(both, F.substr(s, i, F.lit(1))), count(both, F.substr(s, i + window, F.lit(1)))
+        new = state["sum"] - weight(left + 1) + weight(left) - weight(entered) + weight(entered + 1)
+        return F.struct(new.alias("sum"), F.least(state["low"], new).alias("low"))
+
+    moves = F.when(F.length(s) > window, F.sequence(F.lit(1), F.length(s) - window)).otherwise(F.array().cast("array<int>"))
+    low = F.aggregate(moves, F.struct(total.alias("sum"), total.alias("low")), slide, lambda state: state["low"])
+    return F.lit(math.log2(window)) - low / window
+
+
+def find_secrets(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """Adds secrets, array<struct<start, kind, end>> by start, then kind (0 to 3, as in KINDS), over every whole text.
+
+    A null or empty text has none. Rows are independent, so ties and repeated rows need no rule. Other columns pass through;
+    columns named secrets or beginning with _x_ are replaced. An entropy span is a whole candidate of which a window reaches its class's bits, unless
+    a base span overlaps it or the allow-list has it.
+    """
+    docs = docs.drop("secrets", *[c for c in docs.columns if c.startswith("_x_")])
+    columns = docs.columns
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    none = F.array().cast(_PLACE)
+    df = docs.withColumn("_x_text", text)
+    t = F.col("_x_text")
+    df = df.withColumn(
+        "_x_base",
+        F.concat(
+            F.when(t.rlike(ASSIGN_ANY), _plain(_places(t, ASSIGN, 0, 2, 8))).otherwise(none),
+            F.when(t.contains("AKIA"), _plain(_places(t, ACCESS, 1))).otherwise(none),
+            F.when(t.rlike(HEX), _plain(_places(t, HEX, 2))).otherwise(none),
+        ),
+    )
+
+    def suspect(x: Column) -> Column:
+        allowed = [x["hit"].rlike(pattern) for pattern in ALLOWED]
+        return x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Za-z]") & ~functools.reduce(operator.or_, allowed)
+
+    found = F.filter(_places(t, CANDIDATE, 3), suspect)
+    free = F.filter(found, lambda x: ~F.exists("_x_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    least = lambda x: F.when(x["hit"].rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), LEAST_HEX).otherwise(LEAST_ANY)
+    added = _plain(F.filter(free, lambda x: _highest(x["hit"], window) >= least(x)))
+    df = df.withColumn("_x_added", F.when(t.rlike(r"[A-Za-z0-9+/_=-]{20}"), added).otherwise(none))
+    return df.select(*columns, F.array_sort(F.concat("_x_base", "_x_added")).alias("secrets"))
+
+
+def digest(places: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(places, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
+
+
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+    """The documents with each found span replaced by mark; overlapping spans give one mark. Null texts stay null."""
+    found = find_secrets(docs, text_col)
+    t = F.col(text_col)
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(s: Column, x: Column) -> Column:
+        gap = F.substr(t, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
+        out = F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], gap, F.lit(mark)))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
+
+    clean = F.aggregate("secrets", state, add, lambda s: F.concat(s["out"], F.substr(t, s["at"] + 1, F.length(t))))
+    return found.withColumn(text_col, F.when(F.size("secrets") > 0, clean).otherwise(t))
