@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from simlattice.plans import text_queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(text_queries.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(text_queries.ORACLE)
