@@ -169,8 +169,8 @@ def _exact(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keys: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text), and with keys its row key, rk.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a text with fewer words than shingle has one shingle of all. Rows
     whose sets have 100 * intersection >= percent * union are linked; component_id is the smallest doc_id that links reach.
@@ -239,9 +239,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
-    grouped = drawn.select("doc_id", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    grouped = staged(grouped.select("doc_id", "n", "label"), "grouped")
+    grouped = drawn.select("doc_id", "rk", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    grouped = staged(grouped.select("doc_id", "rk", "n", "label"), "grouped")
     lowest = staged(grouped.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("low")), "lowest")
     out = grouped.join(lowest, "label", "left")
     component = F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select(*(["rk"] if keys else []), "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
