@@ -7,10 +7,13 @@ is enough to list each class under those of its values that come first in one or
 that both lists of such a pair meet (prefix filtering). The order puts rare values first: counts of all retained values of all classes
 are summed in a table of fixed size, which is broadcast. Frequent words, lines and passages thus head no list.
 
-A list gives links to its smallest class only, never all its pairs. A pair that shares too few lists is no candidate; the rest
-pass an estimate from the union's sketch, and exact Jaccard on full sets confirms. After that, whatever
-two classes of a list are still unconnected are compared in the same way, so no link between groups is lost, while within a
-group that is connected already no more pairs are made.
+A list of few classes gives its pairs. A long one gives each class's pairs with a few centers only: those members whose values stand
+in the longest lists, which is what the source of many copies looks like. A pair of full sketches that shares too few lists is no
+candidate; the rest pass an estimate from the union's sketch, and exact Jaccard on full sets confirms.
+
+What long lists leave is finished exactly. Classes that they connect are a family. Its members that are not yet with most of the
+family are compared with all of it, block of sets by block of sets: a pair of blocks is one row, and counts all its intersections
+at once, so neither a family's pairs nor a family ever lies in one task.
 
 The bounds: a true pair is missed only if its shared values among its sketches fall five standard deviations below what
 is expected at the asked similarity.
@@ -26,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import mix, row_key, shingles, slices, staged, words
+from .shared import discard, mix, ranked, row_key, shingles, slices, staged, words
 
 SKETCH = 128
 #: The counts of retained values are kept in so many cells, whatever the input.
 CELLS, BLOCK = 1 << 20, 1 << 14
 SIGMAS = 5.0
+#: Longer lists give pairs with centers only; so many sets make a block.
+LONG, SETS = 32, 128
 
 
 def _spread(k: int, similarity: float) -> float:
@@ -169,6 +174,71 @@ def _exact(percent: int):
     return run
 
 
+def _block_pairs(percent: int):
+    """Links between two blocks of sets: of each pair of labels that meet, as many as connect what they connect."""
+
+    def run(batches):
+        for batch in batches:
+            left, right = [], []
+            for a, b in zip(batch.column("mine").to_pylist(), batch.column("theirs").to_pylist(), strict=True):
+                one, two = [np.frombuffer(x["set"], np.uint64) for x in a], [np.frombuffer(x["set"], np.uint64) for x in b]
+                na, nb = np.array([len(x) for x in one]), np.array([len(x) for x in two])
+                both = np.intersect1d(np.unique(np.concatenate(one)), np.unique(np.concatenate(two)), assume_unique=True)
+                shared = np.zeros((len(one), len(two)), np.float32)
+                for k in range(0, len(both), 4096):
+                    part = both[k : k + 4096]
+
+                    def grid(sets, part=part):
+                        out = np.zeros((len(sets), len(part)), np.float32)
+                        for i, x in enumerate(sets):
+                            at = np.minimum(np.searchsorted(part, x), len(part) - 1)
+                            out[i, at[part[at] == x]] = 1
+                        return out
+
+                    shared += grid(one) @ grid(two).T
+                linked = 100 * shared >= percent * (na[:, None] + nb[None, :] - shared)
+                root = {}
+
+                def find(x, root=root):
+                    while root.setdefault(x, x) != x:
+                        x = root[x]
+                    return x
+
+                for i, j in zip(*np.nonzero(linked), strict=True):
+                    x, y = find(a[i]["label"]), find(b[j]["label"])
+                    if x != y:
+                        root[x] = y
+                        left.append(a[i]["cls"])
+                        right.append(b[j]["cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+
+    return run
+
+
+def _family_links(long: DataFrame, heads: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that long lists leave apart."""
+    labels = labels.withColumnRenamed("node", "cls")
+    named = staged(long.join(labels, "cls", "left").select("value", "cls", "n", F.coalesce("label", "cls").alias("label")), "named")
+    split = staged(named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("value"), "split")
+    left = staged(named.join(split, "value"), "left")
+    stars = left.join(heads.select("value", F.col("c0.cls").alias("c")), "value").select(F.col("cls").alias("a"), F.col("c").alias("b")).distinct()
+    family = components(stars).select(F.col("node").alias("cls"), F.col("label").alias("family"))
+    each = staged(left.select("cls", "n", "label").distinct().join(family, "cls"), "families")
+    size = each.groupBy("family", "label").agg(F.count("*").alias("k"))
+    most = staged(size.groupBy("family").agg(F.max(F.struct("k", "label")).alias("m")).select("family", F.col("m.label").alias("most")), "most")
+    each = each.join(most, "family").withColumn("outer", F.col("label") != F.col("most"))
+    # those to compare first, then by size, so that unequal blocks need not meet
+    step = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent)).cast("int")
+    placed = ranked(each, ["family"], ["cls"], "place", first=F.when(F.col("outer"), 0).otherwise(100_000) + step)
+    placed = placed.withColumn("block", (F.col("place") / SETS).cast("long")).join(sets, "cls")
+    blocks = placed.groupBy("family", "block").agg(F.collect_list(F.struct("cls", "label", "set")).alias("rows"), F.max("outer").alias("outer"), F.min("n").alias("low"), F.max("n").alias("high"))
+    blocks = staged(blocks, "blocks")
+    a = blocks.filter("outer").select("family", F.col("block").alias("x"), F.col("rows").alias("mine"), F.col("low").alias("la"), F.col("high").alias("ha"))
+    b = blocks.select("family", F.col("block").alias("y"), F.col("rows").alias("theirs"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("outer").alias("too"))
+    met = a.join(b, "family").filter((~F.col("too") | (F.col("x") <= F.col("y"))) & (F.col("ha") * 100 >= F.col("lb") * percent) & (F.col("hb") * 100 >= F.col("la") * percent))
+    return staged(met.select("mine", "theirs").repartition("mine", "theirs").mapInArrow(_block_pairs(percent), "a binary, b binary"), "family-links")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keys: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text), and with keys its row key, rk.
 
@@ -184,62 +254,55 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keys:
     keyed = docs.select("doc_id", "text").withColumn("rk", row_key())
     drawn = staged(keyed.mapInArrow(_sketch(shingle), f"doc_id {kind}, rk binary, n long, cls binary, sketch binary"), "sketches")
     classes = staged(drawn.filter("n > 0").groupBy("cls").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("rk").alias("rk")), "classes")
+    members = staged(drawn.select("doc_id", "rk", "n", "cls"), "members")
+    discard(drawn)
     cells = classes.select("sketch").mapInArrow(_counts, "block int, cells binary").repartition("block").sortWithinPartitions("block").mapInArrow(_summed, "block int, cells binary")
     counts = np.zeros((CELLS // BLOCK, BLOCK), np.uint32)
     for r in cells.collect():  # CELLS counts, whatever the input
         counts[r["block"]] = np.frombuffer(r["cells"], np.uint32)
     counts = spark.sparkContext.broadcast(counts.reshape(-1))
     listed = classes.select("cls", "n", "sketch").mapInArrow(_lists(counts, similarity), "value long, cls binary, n long")
-    heads = listed.groupBy("value").agg(F.min(F.struct("cls", "n")).alias("head"), F.count("*").alias("many")).filter("many > 1")
-    heads = staged(heads.select("value", F.col("head.cls").alias("center"), F.col("head.n").alias("center_n")), "heads")
-    posts = staged(listed.join(heads, "value"), "lists")
+    many = staged(listed.groupBy("value").agg(F.count("*").alias("many")).filter("many > 1"), "many")
+    lists = staged(listed.join(many, "value"), "lists")
 
     def alike(a: str, b: str):
         """Sizes rule out what is too unequal."""
         return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """Pairs that share as many lists as a true pair does, and pass the estimate. pairs(a, b, n) has one row per list."""
-        # where both sets are cut to sketches, a true pair is expected to meet in two dozen lists or more
-        shared = F.when(F.col("n") * percent > 100 * SKETCH, 3).otherwise(1)
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("lists"), F.min("n").alias("n")).filter(F.col("lists") >= shared)
-        own = classes.select(F.col("cls").alias("a"), F.col("sketch").alias("sketch_a"))
-        other = classes.select(F.col("cls").alias("b"), F.col("sketch").alias("sketch_b"))
-        return pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate(similarity), "a binary, b binary")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """The candidate pairs whose full sets are alike."""
-        pairs = staged(pairs, f"{name}-candidates")
-        needed = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        reps = classes.select("cls", "rk").join(needed, "cls")
-        texts = keyed.select("rk", "text").join(staged(reps, f"{name}-needed"), "rk")
-        sets = texts.select("cls", "text").mapInArrow(_sets(shingle), "cls binary, set binary")
-        sets = staged(sets.groupBy("cls").agg(F.min("set").alias("set")), f"{name}-sets")  # equal rows have one rk
-        own = sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a"))
-        other = sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b"))
-        both = pairs.join(own, "a").join(other, "b").select("a", "b", "set_a", "set_b")
-        return staged(both.mapInArrow(_exact(percent), "a binary, b binary"), f"{name}-links")
-
-    stars = posts.filter((F.col("cls") != F.col("center")) & alike("n", "center_n")).select(F.col("center").alias("a"), F.col("cls").alias("b"), F.least("n", "center_n").alias("n"))
-    links = confirmed(candidates(stars), "star")
+    short = lists.filter(F.col("many") <= LONG)
+    one, two = short.select("value", F.col("cls").alias("a"), F.col("n").alias("na")), short.select("value", F.col("cls").alias("b"), F.col("n").alias("nb"))
+    pairs = one.join(two, "value").filter((F.col("a") < F.col("b")) & alike("na", "nb")).select("a", "b", F.least("na", "nb").alias("n"))
+    long = lists.filter(F.col("many") > LONG)
+    fame = long.groupBy("cls").agg(F.sum(F.log("many")).alias("fame"))
+    long = staged(long.join(fame, "cls"), "long")
+    center = F.struct("fame", "cls", "n")
+    half = lambda k: F.max(F.when(F.pmod(F.xxhash64("cls"), F.lit(2)) == k, center))
+    heads = staged(long.groupBy("value").agg(F.max(center).alias("c0"), half(0).alias("c1"), half(1).alias("c2")), "heads")
+    stars = long.join(heads, "value").select("cls", "n", F.explode(F.array_distinct(F.array("c0", "c1", "c2"))).alias("c"))
+    stars = stars.filter(F.col("c.cls").isNotNull() & (F.col("c.cls") != F.col("cls")) & alike("n", "c.n"))
+    stars = stars.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b"), F.least("n", "c.n").alias("n"))
+
+    # where both sets are cut to sketches, a true pair is expected to meet in two dozen lists or more
+    shared = F.when(F.col("n") * percent > 100 * SKETCH, 3).otherwise(1)
+    pairs = pairs.unionByName(stars).groupBy("a", "b").agg(F.count("*").alias("met"), F.min("n").alias("n")).filter(F.col("met") >= shared)
+    own = classes.select(F.col("cls").alias("a"), F.col("sketch").alias("sketch_a"))
+    other = classes.select(F.col("cls").alias("b"), F.col("sketch").alias("sketch_b"))
+    pairs = staged(staged(pairs.select("a", "b"), "met").join(own, "a").join(other, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate(similarity), "a binary, b binary"), "candidates")
+
+    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).union(long.select("cls")).distinct()
+    reps = staged(classes.select("cls", "rk").join(needed, "cls"), "needed")
+    discard(classes)
+    texts = keyed.select("rk", "text").join(reps, "rk").select("cls", "text")
+    sets = staged(texts.mapInArrow(_sets(shingle), "cls binary, set binary").groupBy("cls").agg(F.min("set").alias("set")), "sets")  # equal rows have one rk
+    own = sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a"))
+    other = sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b"))
+    links = staged(pairs.join(own, "a").join(other, "b").select("a", "b", "set_a", "set_b").mapInArrow(_exact(percent), "a binary, b binary"), "links")
     labels = components(links)
-
-    # what lists leave: classes of one list in different components, where one at least is not with the list's center
-    named = posts.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    named = staged(named, "named")
-    split = staged(named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("value"), "split")
-    open_ = staged(named.join(split, "value"), "open")
-    heads = open_.filter("cls = center").select("value", F.col("label").alias("center_label"))
-    outer = open_.join(heads, "value").filter("label <> center_label").select("value", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "center_label")
-    outer = staged(outer, "outer")
-    inner = open_.select("value", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "center")
-    met = outer.join(inner, "value").filter((F.col("la") != F.col("lb")) & (F.col("b") != F.col("center")) & ((F.col("lb") == F.col("center_label")) | (F.col("a") < F.col("b"))) & alike("na", "nb"))
-    more = candidates(met.select("a", "b", F.least("na", "nb").alias("n")))
-    more = confirmed(more, "rest")
+    more = _family_links(long, heads, labels, sets, percent)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
-    grouped = drawn.select("doc_id", "rk", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    grouped = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     grouped = staged(grouped.select("doc_id", "rk", "n", "label"), "grouped")
     lowest = staged(grouped.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("low")), "lowest")
     out = grouped.join(lowest, "label", "left")

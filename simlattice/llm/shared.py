@@ -6,6 +6,7 @@ Staged tables are Parquet in the shared folder, so lineage is cut by a table tha
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -62,11 +63,23 @@ def _delete_all() -> None:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and returns a reader of it."""
+    """Writes df to the shared folder and returns a reader of it.
+
+    Shuffle files of what went into it are only removed when the driver's garbage goes, so it is collected here."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a staged table that nothing will read again."""
+    delete(df.sparkSession, df.staged_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
