@@ -27,7 +27,7 @@ RECALL = 0.99
 #: Window sizes in words; an item uses the largest that it can fill.
 SIZES = (16, 8, 4, 2, 1)
 PLACES = 5
-EMBEDDINGS = 3
+EMBEDDINGS = 2
 MOST_REPEATS = 60
 BLOCK = 20_000
 
@@ -76,12 +76,24 @@ class Probes:
 
     ids: list
     items: list[np.ndarray]
-    vocabulary: np.ndarray
     tolerance: float
+    #: words of items, each mixed with its item's number
+    owned: np.ndarray
+    #: size -> sorted words of its items, and which leading 20 bits of a hash some of them has
+    vocabulary: dict[int, tuple[np.ndarray, np.ndarray]]
     #: size -> list of (embedding seed, places, sorted keys, item numbers, offsets)
     tables: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
 
 
+def _owned(words: np.ndarray, item: np.ndarray | int) -> np.ndarray:
+    return mix(words ^ mix(np.atleast_1d(np.asarray(item)).astype(np.uint64) + np.uint64(1)))
+
+
+def _least_known(size: int, tolerance: float) -> int:
+    """How many words of a window must be words of items: all but its share of edits."""
+    return max(1, size - int(np.ceil(tolerance * size)))
+
+
 def _edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
     out = words.tolist()
     for _ in range(edits):
@@ -97,13 +109,18 @@ def _edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarr
 
 def prepare(ids: list, items: list[np.ndarray], tolerance: float = TOLERANCE, recall: float = RECALL, seed: int = 11) -> Probes:
     """Embeds the items' windows and repeats samples until edited items are found at the target recall."""
-    vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *items]))
+    vocabulary = {}
+    owned = np.unique(np.concatenate([np.zeros(0, np.uint64), *[_owned(words, i) for i, words in enumerate(items)]]))
     by_size: dict[int, list[int]] = {}
     for i, words in enumerate(items):
         by_size.setdefault(next(s for s in SIZES if s <= len(words)), []).append(i)
     tables = {}
     for size, own in by_size.items():
         rng = np.random.default_rng(seed + size)
+        known = np.unique(np.concatenate([items[i] for i in own]))
+        leading = np.zeros(1 << 20, bool)
+        leading[(known >> np.uint64(44)).astype(np.int64)] = True
+        vocabulary[size] = known, leading
         steps = 3 * size
         begin, which, offset, joined, at = [], [], [], [], 0
         for i in own:
@@ -122,6 +139,8 @@ def prepare(ids: list, items: list[np.ndarray], tolerance: float = TOLERANCE, re
             i = own[int(rng.integers(len(own)))]
             changed = _edited(items[i], int(tolerance * len(items[i])), rng)
             starts = np.arange(max(1, len(changed) - size + 1))
+            there = np.r_[0, np.cumsum(_member(changed, known))]
+            starts = starts[there[np.minimum(starts + size, len(changed))] - there[starts] >= _least_known(size, tolerance)]
             trials.append((i, [embed(changed, starts, np.minimum(starts + size, len(changed)), steps, seed + e) for e in range(EMBEDDINGS)]))
         hit, made = np.zeros(len(trials), bool), []
         for r in range(MOST_REPEATS):
@@ -138,7 +157,7 @@ def prepare(ids: list, items: list[np.ndarray], tolerance: float = TOLERANCE, re
             if r + 1 >= EMBEDDINGS and hit.mean() >= recall:
                 break
         tables[size] = made
-    return Probes(list(ids), items, vocabulary, tolerance, tables)
+    return Probes(list(ids), items, tolerance, owned, vocabulary, tables)
 
 
 def distance(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -164,17 +183,20 @@ def matches(words: np.ndarray, row: np.ndarray, probes: Probes, chunk: int = 50_
     """(row, item number, place of the stretch's end in its row, distance) for every item that stands in a row."""
     if not len(words):
         return []
-    known = _member(words, probes.vocabulary)
-    total = np.r_[0, np.cumsum(known)]
+    lead = (words >> np.uint64(44)).astype(np.int64)
     first = np.searchsorted(row, np.arange(row[-1] + 2))
     end_of = first[row + 1]
     found: set[tuple[int, int, int]] = set()
     for size, tables in probes.tables.items():
+        vocabulary, leading = probes.vocabulary[size]
+        known = leading[lead]
+        maybe = np.flatnonzero(known)
+        known[maybe] = _member(words[maybe], vocabulary)
+        total = np.r_[0, np.cumsum(known)]
         begin = np.arange(len(words))
         end = np.minimum(begin + size, end_of)
-        # edits within a window are at most those of the whole item, but a window of an item near the tolerance with no more
-        # than its share of edits exists; it has that many words of the item
-        need = max(1, size - int(np.ceil(probes.tolerance * size)))
+        # an item at the tolerance has a window with no more than its share of edits, and so with that many words of the item
+        need = _least_known(size, probes.tolerance)
         begin = np.flatnonzero(total[end] - total[begin] >= need)
         for k in range(0, len(begin), chunk):
             own = begin[k : k + chunk]
@@ -184,9 +206,16 @@ def matches(words: np.ndarray, row: np.ndarray, probes: Probes, chunk: int = 50_
                     copies[seed] = embed(words, own, end[own], 2 * size, seed)
                 mine = _sampled(copies[seed], places)
                 lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-                for j in np.flatnonzero(hi > lo):
-                    for x in range(lo[j], hi[j]):
-                        found.add((int(row[own[j]]), int(which[x]), int(own[j] - offset[x])))
+                many = hi - lo
+                which_hit = np.repeat(np.arange(len(own)), many)
+                entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+                # enough of the window's words must be words of this item
+                at = own[which_hit][:, None] + np.arange(size)[None, :]
+                inside = at < end_of[own[which_hit]][:, None]
+                mixed = _owned(words[np.minimum(at, len(words) - 1)], which[entry][:, None])
+                shared = (_member(mixed.ravel(), probes.owned).reshape(mixed.shape) & inside).sum(axis=1)
+                for r, i, start in zip(*(x[shared >= need].tolist() for x in (row[own[which_hit]], which[entry], own[which_hit] - offset[entry])), strict=True):
+                    found.add((r, i, start))
     out, done, last = [], set(), None
     for r, i, start in sorted(found):
         item = probes.items[i]
