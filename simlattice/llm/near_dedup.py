@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, mix, ranked, row_key, shingles, slices, staged, words
+from .shared import bitmap, discard, maybe_among, mix, ranked, row_key, shingles, slices, staged, words
 
 SKETCH = 128
 #: The counts of retained values are kept in so many cells, whatever the input.
@@ -285,14 +285,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keys:
     # where both sets are cut to sketches, a true pair is expected to meet in two dozen lists or more
     shared = F.when(F.col("n") * percent > 100 * SKETCH, 3).otherwise(1)
     pairs = pairs.unionByName(stars).groupBy("a", "b").agg(F.count("*").alias("met"), F.min("n").alias("n")).filter(F.col("met") >= shared)
-    own = classes.select(F.col("cls").alias("a"), F.col("sketch").alias("sketch_a"))
-    other = classes.select(F.col("cls").alias("b"), F.col("sketch").alias("sketch_b"))
-    pairs = staged(staged(pairs.select("a", "b"), "met").join(own, "a").join(other, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate(similarity), "a binary, b binary"), "candidates")
+    met = staged(pairs.select("a", "b"), "met")
+    both = lambda df: df.select(F.col("a").alias("cls")).union(df.select(F.col("b").alias("cls"))).distinct()
+    known = staged(both(met), "meeting")
+    # a bitmap first: only classes that meet any other move
+    drawn = staged(maybe_among(classes.select("cls", "sketch"), "cls", bitmap(known, "cls")), "meeting-sketches")
+    own, other = drawn.select(F.col("cls").alias("a"), F.col("sketch").alias("sketch_a")), drawn.select(F.col("cls").alias("b"), F.col("sketch").alias("sketch_b"))
+    pairs = staged(met.join(own, "a").join(other, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate(similarity), "a binary, b binary"), "candidates")
+    discard(drawn)
 
-    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).union(long.select("cls")).distinct()
+    needed = both(pairs).union(long.select("cls")).distinct()
     reps = staged(classes.select("cls", "rk").join(needed, "cls"), "needed")
     discard(classes)
-    texts = keyed.select("rk", "text").join(reps, "rk").select("cls", "text")
+    texts = maybe_among(keyed.select("rk", "text"), "rk", bitmap(reps, "rk")).join(reps, "rk").select("cls", "text")
     sets = staged(texts.mapInArrow(_sets(shingle), "cls binary, set binary").groupBy("cls").agg(F.min("set").alias("set")), "sets")  # equal rows have one rk
     own = sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a"))
     other = sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b"))

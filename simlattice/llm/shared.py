@@ -226,3 +226,58 @@ def ranked(df: DataFrame, by: list[str], order: list[str], name: str, first: Col
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     rows = df.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
     return rows.join(starts, keys).withColumn(name, (F.col("_start") + F.col("_row")).cast("long")).drop("_tier", "_bucket", "_start", "_row")
+
+
+def _places(keys: pa.Array, bits: int) -> np.ndarray:
+    """Four places in a bitmap for each key of 16 bytes."""
+    raw = np.frombuffer(b"".join(keys.to_pylist()), "<u8").reshape(-1, 2)
+    return (mix(raw[:, :1] + raw[:, 1:] * np.arange(1, 5, dtype=np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def bitmap(keys: DataFrame, column: str, max_bits: int = 1 << 27, block: int = 1 << 17):
+    """A broadcast filter of the 16-byte keys of a staged table. It has max_bits at most, whatever the input; fuller, it lets more
+    through that is no key. Each task sends the blocks of bits that it sets; a block is merged in one place."""
+    spark = keys.sparkSession
+    n = keys.count()
+    bits = 1 << min(max(17, int(16 * max(1, n)).bit_length()), max_bits.bit_length() - 1)
+
+    def set_bits(batches):
+        own = np.zeros(bits, bool)
+        for batch in batches:
+            if batch.num_rows:
+                own[_places(batch.column(column), bits).ravel()] = True
+        blocks = own.reshape(-1, block)
+        full = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([np.packbits(blocks[i]).tobytes() for i in full], pa.binary())], names=["block", "bits"])
+
+    def merged(batches):
+        at, total = None, None
+        for batch in batches:
+            for b, packed in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                if at is not None and b != at:
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "bits"])
+                total = np.frombuffer(packed, np.uint8) | (total if b == at else np.uint8(0))
+                at = b
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "bits"])
+
+    parts = keys.select(column).mapInArrow(set_bits, "block int, bits binary").repartition("block").sortWithinPartitions("block").mapInArrow(merged, "block int, bits binary")
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts.collect():
+        at = r["block"] * block // 8
+        out[at : at + block // 8] = np.frombuffer(r["bits"], np.uint8)
+    return spark.sparkContext.broadcast(out)
+
+
+def maybe_among(df: DataFrame, column: str, known) -> DataFrame:
+    """Rows whose key the bitmap has, and some others: a join with the keys follows, and moves few rows."""
+
+    def run(batches):
+        have = known.value
+        for batch in batches:
+            if batch.num_rows:
+                places = _places(batch.column(column), len(have) * 8)
+                hit = ((have[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1).all(axis=1)
+                yield batch.filter(pa.array(hit))
+
+    return df.mapInArrow(run, df.schema)
