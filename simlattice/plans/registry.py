@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from simlattice.plans import text_queries
+from simlattice.plans import pair_queries, run_queries, text_queries
+
+_PARTS = (text_queries, pair_queries, run_queries)
 
 
 def queries() -> dict:
-    return dict(text_queries.QUERIES)
+    return {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return dict(text_queries.ORACLE)
+    return {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}

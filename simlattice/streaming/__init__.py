@@ -1 +1 @@
-
+"""Streams of keyed rows."""
