@@ -62,11 +62,24 @@ def _delete_all() -> None:
             return
 
 
+#: Rows and bytes of the batches that go to Python workers: what a worker holds is a few of them.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits on batches to these, where they are higher."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns a reader of it.
 
     Shuffle files of what went into it are only removed when the driver's garbage goes, so it is collected here."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -83,6 +96,7 @@ def discard(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
