@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .shared import ranked, slices, staged
 
-#: Chunks between blanks whose ids a worker remembers, and the longest chunk that it remembers, in characters.
-REMEMBERED, LONGEST = 900_000, 64
+#: Chunks between blanks whose ids a task remembers, and the longest chunk that it remembers, in characters.
+REMEMBERED, LONGEST = 500_000, 64
 #: Words that are encoded in one call.
 TOGETHER = 2000
 _WORD = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~].*)?", re.S)
@@ -41,7 +41,7 @@ def _tokenizer(path: str):
         ends = np.zeros(made.get_vocab_size(with_added_tokens=True), bool)
         for token, i in made.get_vocab(with_added_tokens=False).items():
             ends[i] = token.endswith("</w>")
-        _known[path] = made, ends, {"": b""}
+        _known[path] = made, ends, {}
     return _known[path]
 
 
@@ -67,6 +67,7 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     its rest's, and each distinct word is encoded once. tests hold this against whole texts.
     """
     made, ends, known = _tokenizer(path)
+    known[""] = b""
     chunks = [x.replace("\n", " ").split(" ") for x in texts]
     new = set().union(*chunks).difference(known) if chunks else set()
     if len(known) + 2 * len(new) > REMEMBERED:
@@ -119,6 +120,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                 [batch.column("doc_id").take(pa.array(keep)), n, pa.array(np.array(piece, np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        _tokenizer(path)[2].clear()  # a worker outlives its task
 
     return run
 
