@@ -170,6 +170,8 @@ class Model:
     def words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Each word's probabilities, and its row."""
         data, begin, end, row = tokens(column)
+        if not len(begin):
+            return np.zeros((0, len(self.languages))), row
         word = hashes(data, begin, end)
         _, one, which = np.unique(word, return_index=True, return_inverse=True)
         found = word_features(data, begin[one], end[one], self.lexicon, word[one])
@@ -218,6 +220,8 @@ def fit(texts: list[str], tags: list[str], steps: int = 120, many: int = 48, len
     k = len(languages)
     column = pa.array(texts, pa.string())
     data, begin, end, row = tokens(column)
+    if not len(begin):
+        return Model(languages, np.zeros((TABLE, k), np.float32), np.zeros((k, k)), np.zeros(0, np.uint64))
     word = hashes(data, begin, end)
     distinct, one, which = np.unique(word, return_index=True, return_inverse=True)
     # the lexicon: words of at least three texts
