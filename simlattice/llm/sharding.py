@@ -45,24 +45,27 @@ def _grants(asked: dict[int, dict[int, dict[int, int]]], linked: dict[int, int],
     return out
 
 
-def propagate(nodes: DataFrame, members: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
+def propagate(nodes: DataFrame, members: DataFrame, shards: int = 16, rounds: int = 8) -> DataFrame:
     """Moves linked nodes towards shards where their groups are; nodes(node, shard, linked), members(node, grp, weight).
 
     Returns nodes with the new shard. Linked nodes of a shard stay within its even share, so that nodes without links can
-    make up the rest. Groups of any size are only ever aggregated, or joined where Spark splits large keys.
+    make up the rest. A shard that is full is settled: nobody asks for it or leaves it, so a group of several shares' size fills
+    one shard after the other. Ends when nothing moves. Groups of any size are only ever aggregated, or joined where Spark
+    splits large keys.
     """
     count = {r["shard"]: (r["n"], r["k"]) for r in nodes.groupBy("shard").agg(F.count("*").alias("n"), F.count_if("linked").alias("k")).collect()}
     share = sum(n for n, _ in count.values()) // shards
     linked = {s: k for s, (_, k) in count.items()}
     for k in range(rounds):
-        at = members.join(nodes, "node")
+        full = [s for s, n in linked.items() if n >= share]
+        at = members.join(nodes.filter(~F.col("shard").isin(full)) if full else nodes, "node")
         tally = at.groupBy("grp", "shard").agg(F.sum("weight").alias("w"))
         best = Window.partitionBy("grp").orderBy(F.desc("w"), _hash_below(1 << 30, "grp", "shard"))
         # a group has at most as many rows here as there are shards
         top = tally.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("grp", F.col("shard").alias("to"), "w")
         score = members.join(top, "grp").groupBy("node", "to").agg(F.sum(F.col("w") * F.col("weight")).alias("w"), F.min("grp").alias("grp"))
         want = score.groupBy("node").agg(F.max(F.struct("w", "to", "grp")).alias("x")).select("node", F.col("x.to").alias("to"), F.col("x.grp").alias("grp"))
-        asking = nodes.join(want, "node").filter("shard <> to").withColumn("p", _hash_below(PRIORITIES, "grp"))
+        asking = (nodes.filter(~F.col("shard").isin(full)) if full else nodes).join(want, "node").filter("shard <> to").withColumn("p", _hash_below(PRIORITIES, "grp"))
         asking = staged(asking.select("node", "shard", "to", "p"), f"moves-{k}")
         asked: dict[int, dict[int, dict[int, int]]] = {}
         for r in asking.groupBy("shard", "to", "p").agg(F.count("*").alias("n")).collect():
@@ -111,7 +114,7 @@ def even(nodes: DataFrame, shards: int, loose: Column) -> DataFrame:
     return placed.withColumn("_to", to).withColumn("slot", slot.cast("long")).withColumn("shard", F.col("_to").cast("int")).drop("_to", "_place")
 
 
-def shard_rows(docs: DataFrame, links: DataFrame | None = None, shards: int = 16, rounds: int = 4, text_col: str = "text") -> DataFrame:
+def shard_rows(docs: DataFrame, links: DataFrame | None = None, shards: int = 16, rounds: int = 8, text_col: str = "text") -> DataFrame:
     """Puts every row of docs(doc_id, text) into one of so many shards, counts at most one apart, linked rows together.
 
     links(doc_id, grp string) names the groups of documents; without it, a group is the rows of equal text. Returns doc_id,
