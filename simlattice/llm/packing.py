@@ -51,7 +51,7 @@ def _encode(made, chunks: list[str]) -> list[bytes]:
 
 def _encode_words(made, ends: np.ndarray, words: list[str]) -> list[bytes]:
     """Ids of words of letters only, many to a call: an id that ends a word ends one of them."""
-    ids = np.array(made.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+    ids = np.array(made.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
     after = np.flatnonzero(ends[ids]) + 1
     if len(after) != len(words):  # a letter whose lower case is not one letter
         return _encode(made, words)
@@ -80,10 +80,11 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
         for x in new:
             m = _WORD.fullmatch(x) if len(x) <= LONGEST else None
             if m and (m[1].isascii() or unicodedata.normalize("NFC", m[1]).lower().isalpha()):
-                word, rest = m[1], m[2] or ""
+                word, rest = m[1].lower() if m[1].isascii() else m[1], m[2] or ""
                 words.add(word)
                 if rest:
                     rests.add(rest)
+                if x != word:
                     parts.append((x, word, rest))
             else:
                 rests.add(x)
@@ -105,7 +106,7 @@ def _pieces(path: str, capacity: int, end_id: int):
     end = array("I", [end_id]).tobytes()
 
     def run(batches):
-        for batch in slices(batches, "text", 2_000_000):
+        for batch in slices(batches, "text"):
             keep, piece, length, crc = [], [], [], []
             for i, ids in enumerate(token_bytes([x or "" for x in batch.column("text").to_pylist()], path)):
                 ids += end
