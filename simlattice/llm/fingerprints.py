@@ -138,7 +138,7 @@ def _compare(batches):
             names=names,
         )
 
-    for batch in slices(batches, "text", 2_000_000):
+    for batch in slices(batches, "text"):
         rows = held + list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "guest", "doc_id", "text")), strict=True))
         yield done(rows)
         held = rows[-1:]
@@ -163,7 +163,7 @@ def compare_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     cuts = sorted(set(ids.approxQuantile("place", [i / buckets for i in range(1, buckets)], 0.25 / buckets))) if buckets > 1 else []
     # a null id comes before all others
     low = F.lit(-1e300)
-    bucketed = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="place", outputCol="bucket")
+    bucketed = Bucketizer(splits=[float("-inf"), *(cuts or [0.0]), float("inf")], inputCol="place", outputCol="bucket")
     heads = bucketed.transform(ids.withColumn("place", F.coalesce("place", low))).groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("head")).collect()
     heads = sorted((r["bucket"], r["head"]["doc_id"]) for r in heads)
     before = [(b, i, heads[k - 1][0]) for k, (b, i) in enumerate(heads)]

@@ -9,6 +9,7 @@ import atexit
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -63,7 +64,7 @@ def _delete_all() -> None:
 
 
 #: Rows and bytes of the batches that go to Python workers: what a worker holds is a few of them.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -81,12 +82,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     bounded_batches(spark)
     path = new_path(spark, name)
+    began = time.monotonic()
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - began > 1:  # a quicker one leaves little
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return out
 
 
@@ -105,7 +108,7 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the text of each holds about max_bytes, or one row if that is longer."""
     for batch in batches:
         if not batch.num_rows:
