@@ -8,9 +8,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from simlattice.functions.text import unit
+from simlattice.operators.ranks import sum_before
 from simlattice.schema import CAUGHT, JUDGE_FIELDS
 
 
@@ -89,10 +89,9 @@ def pair_mean(pairs: DataFrame, distances: DataFrame, group: str = "stratum") ->
 
 
 def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Ranks from 1, ties by their mean, from counts by value: as many rows are put in order as there are distinct values."""
+    """Ranks from 1, ties by their mean, from counts by value."""
     n = rows.groupBy(value).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = n.withColumn(name, before + (F.col("_n") + 1) / 2).drop("_n")
+    place = sum_before(n, value, "_n", "_before").withColumn(name, F.col("_before") + (F.col("_n") + 1) / 2).drop("_n", "_before")
     return rows.join(place, value)
 
 

@@ -7,19 +7,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from simlattice.operators.ranks import sum_before
 
 
 def auc_of_counts(counts: DataFrame, value: str = "d", positive: str = "twin", n: str = "n") -> DataFrame:
     """One row, auc: the chance that a positive has a smaller value than a negative, ties half. From counts by value.
 
-    There are as many rows to order as distinct values, which rounding bounds."""
+    Distinct values are put in order by ranges."""
     by = counts.groupBy(value).agg(F.sum(F.when(F.col(positive), F.col(n)).otherwise(0)).alias("p"), F.sum(F.when(F.col(positive), 0).otherwise(F.col(n))).alias("q"))
     totals = by.agg(F.sum("p").alias("P"), F.sum("q").alias("Q"))
-    # negatives above each value: a running sum over values, by range of values
-    above = F.sum("q").over(Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1))
-    won = by.withColumn("_above", F.coalesce(above, F.lit(0))).agg(F.sum(F.col("p") * (F.col("_above") + F.col("q") / 2)).alias("won"))
-    both = won.join(totals, F.lit(True))  # one row each
+    below = sum_before(by, value, "q", "_below")
+    won = below.agg(F.sum(F.col("p") * (F.col("_below") + F.col("q") / 2)).alias("lost"))
+    both = won.join(totals, F.lit(True)).withColumn("won", F.col("P") * F.col("Q") - F.col("lost"))  # one row each
     return both.select(F.when((F.col("P") > 0) & (F.col("Q") > 0), F.col("won") / (F.col("P") * F.col("Q"))).alias("auc"))
 
 
