@@ -15,6 +15,7 @@ import re
 import unicodedata
 import zlib
 from array import array
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +42,23 @@ def _tokenizer(path: str):
         ends = np.zeros(made.get_vocab_size(with_added_tokens=True), bool)
         for token, i in made.get_vocab(with_added_tokens=False).items():
             ends[i] = token.endswith("</w>")
-        _known[path] = made, ends, {}
+        _known[path] = made, ends if _by_word(made, ends) else None, {}
     return _known[path]
 
 
+def _by_word(made, ends: np.ndarray) -> bool:
+    """Whether the ids of a text are those of its words: white space goes, words end in a mark, signs are apart, case is lowered."""
+    alone = lambda x: made.encode(x, add_special_tokens=False).ids
+    probe = ["unbelievable", "words", "it", "antidisestablishment"]
+    return bool(ends.any()) and alone(" Unbelievable\n words,  it. antidisestablishment ") == [i for x in ("unbelievable", "words", ",", "it", ".", "antidisestablishment") for i in alone(x)] and all([t.id for t in made.model.tokenize(x)] == alone(x) for x in probe)
+
+
 def _encode(made, chunks: list[str]) -> list[bytes]:
     return [array("I", x.ids).tobytes() for x in made.encode_batch_fast(chunks, add_special_tokens=False)]
 
 
 def _encode_words(made, ends: np.ndarray, words: list[str]) -> list[bytes]:
-    """Ids of words of letters only, many to a call: an id that ends a word ends one of them."""
+    """Ids of words of letters beyond ASCII, many to a call: an id that ends a word ends one of them."""
     ids = np.array(made.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
     after = np.flatnonzero(ends[ids]) + 1
     if len(after) != len(words):  # a letter whose lower case is not one letter
@@ -62,13 +70,16 @@ def _encode_words(made, ends: np.ndarray, words: list[str]) -> list[bytes]:
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers.
 
-    The vocabulary's pre-tokenizer drops white space, never joins across it, and ends a run of letters before an ASCII sign.
-    So the ids of a text are those of its chunks between blanks and line ends, those of a chunk are its leading word's and
-    its rest's, and each distinct word is encoded once. tests hold this against whole texts.
+    Where the vocabulary's pre-tokenizer drops white space and ends a run of letters before an ASCII sign (a probe tells; else
+    whole texts are encoded), the ids of a text are those of its chunks between blanks and line ends, those of a chunk are its leading
+    word's and its rest's, and each distinct word is encoded once, ASCII ones by the model alone. tests hold this against whole texts.
     """
     made, ends, known = _tokenizer(path)
+    if ends is None:
+        return _encode(made, texts)
     known[""] = b""
-    chunks = [x.replace("\n", " ").split(" ") for x in texts]
+    # the tokenizer lowers letter by letter; only a capital sigma is lowered by its place in a word here
+    chunks = [(x if "\u03a3" in x else x.lower()).replace("\n", " ").split(" ") for x in texts]
     new = set().union(*chunks).difference(known) if chunks else set()
     if len(known) + 2 * len(new) > REMEMBERED:
         known.clear()
@@ -78,17 +89,28 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     if new:
         parts, words, rests = [], set(), set()
         for x in new:
-            m = _WORD.fullmatch(x) if len(x) <= LONGEST else None
-            if m and (m[1].isascii() or unicodedata.normalize("NFC", m[1]).lower().isalpha()):
-                word, rest = m[1].lower() if m[1].isascii() else m[1], m[2] or ""
-                words.add(word)
-                if rest:
-                    rests.add(rest)
-                if x != word:
-                    parts.append((x, word, rest))
-            else:
+            if len(x) > LONGEST:
                 rests.add(x)
-        words = [x for x in words if x not in known]
+                continue
+            if x.isalpha() and x.isascii():
+                words.add(x)
+                continue
+            word, rest = x[:-1], x[-1]
+            if not (rest in ".," and word.isalpha() and word.isascii()):
+                m = _WORD.fullmatch(x)
+                if not m or not (m[1].isascii() or unicodedata.normalize("NFC", m[1]).lower().isalpha()):
+                    rests.add(x)
+                    continue
+                word, rest = m[1], m[2] or ""
+            words.add(word)
+            if rest:
+                rests.add(rest)
+            if x != word:
+                parts.append((x, word, rest))
+        words.difference_update(known)
+        plain = [x for x in words if x.isascii()]
+        known.update((x, array("I", [t.id for t in made.model.tokenize(x.lower())]).tobytes()) for x in plain)
+        words = list(words.difference(plain))
         for k in range(0, len(words), TOGETHER):
             own = words[k : k + TOGETHER]
             known.update(zip(own, _encode_words(made, ends, own), strict=True))
@@ -99,7 +121,7 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
             known[x] = known[word] + known[rest]
     if once:
         return [b"".join([known[x] if x in known else once[x] for x in own]) for own in chunks]
-    return [b"".join(map(known.__getitem__, own)) for own in chunks]
+    return [b"".join(itemgetter(*own)(known)) if len(own) > 1 else known[own[0]] for own in chunks]
 
 
 def _pieces(path: str, capacity: int, end_id: int):
