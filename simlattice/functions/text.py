@@ -85,16 +85,17 @@ def strip_name(x: ColumnOrName, name: ColumnOrName) -> Column:
 
 def terms(x: ColumnOrName, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Content words (three characters or more, no stop word, not all digits) and pairs of neighbours that are both content."""
-    stop = F.array(*[F.lit(w) for w in stopwords])
-
     def content(w: Column) -> Column:
-        return (F.length(w) >= 3) & ~F.array_contains(stop, w) & ~w.rlike(r"^\p{N}+$")
+        return (F.length(w) >= 3) & ~w.isin(*stopwords) & ~w.rlike(r"^\p{N}+$")
 
-    def found(words: Column) -> Column:
-        pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.when(b.isNotNull() & content(a) & content(b), F.concat_ws(" ", a, b)))
-        return F.array_union(F.filter(words, content), F.filter(pairs, lambda p: p.isNotNull()))
+    def found(own: Column) -> Column:
+        """own: struct<w, c> of each word and whether it is content."""
+        pairs = F.zip_with(own, F.slice(own, F.lit(2), F.greatest(F.size(own), F.lit(1))), lambda a, b: F.when(a["c"] & b["c"], F.concat_ws(" ", a["w"], b["w"])))
+        singles = F.transform(F.filter(own, lambda x: x["c"]), lambda x: x["w"])
+        return F.array_union(singles, F.filter(pairs, lambda p: p.isNotNull()))
 
-    return let(F.filter(F.split(F.trim(normalise(x)), " "), lambda w: w != ""), found)
+    words = F.filter(F.split(F.trim(normalise(x)), " "), lambda w: w != "")
+    return let(F.transform(words, lambda w: F.struct(w.alias("w"), content(w).alias("c"))), found)
 
 
 def chunks(x: ColumnOrName, size: int = 150) -> Column:

@@ -20,12 +20,19 @@ def similarity_join(sets: DataFrame, least: float, id_col: str = "id", items: st
     of each, so only these meet; frequent items head no list. Sizes rule out pairs before full sets are compared. Sets are
     distinct arrays with unique ids; empty sets have no pair."""
     base = sets.select(F.col(id_col).alias("_id"), F.col(items).alias("_items")).filter(F.size("_items") > 0)
+    return _joined(base, _ordered(base), least)
+
+
+def _ordered(base: DataFrame) -> DataFrame:
+    """(_id, _n, _o): each set's size, and its items from rare to frequent. An item of one set only meets nothing, but has a place."""
     rows = base.select("_id", F.size("_items").alias("_n"), F.explode("_items").alias("_x"))
     df = rows.groupBy("_x").agg(F.count("*").alias("_df"))
-    # an item of one set only meets nothing, but it has a place in the order
-    ranked = rows.join(df, "_x").groupBy("_id", "_n").agg(F.array_sort(F.collect_list(F.struct("_df", "_x"))).alias("_o"))
+    return rows.join(df, "_x").groupBy("_id", "_n").agg(F.array_sort(F.collect_list(F.struct("_df", "_x"))).alias("_o"))
+
+
+def _joined(base: DataFrame, ordered: DataFrame, least: float) -> DataFrame:
     need = F.ceil(F.col("_n") * least - 1e-9).cast("int")
-    prefix = ranked.select("_id", "_n", F.explode(F.slice("_o", F.lit(1), F.col("_n") - need + 1)).alias("_p")).filter("_p._df > 1").select("_id", "_n", F.col("_p._x").alias("_x"))
+    prefix = ordered.select("_id", "_n", F.explode(F.slice("_o", F.lit(1), F.col("_n") - need + 1)).alias("_p")).filter("_p._df > 1").select("_id", "_n", F.col("_p._x").alias("_x"))
     a, b = prefix.select("_x", F.col("_id").alias("i"), F.col("_n").alias("na")), prefix.select("_x", F.col("_id").alias("j"), F.col("_n").alias("nb"))
     close = F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9
     met = a.join(b, "_x").filter((F.col("i") < F.col("j")) & close).select("i", "j").distinct()
@@ -39,10 +46,12 @@ def top_pairs(sets: DataFrame, limit: int = 50, id_col: str = "id", items: str =
     """The `limit` most similar pairs, ties by (i, j): joins at a falling least similarity until there are enough pairs.
 
     If the last step has too few, these are all that share a tenth of their items."""
+    base = sets.select(F.col(id_col).alias("_id"), F.col(items).alias("_items")).filter(F.size("_items") > 0)
+    ordered = _ordered(base).persist()  # every step reads it; lost blocks are made again
     for least in steps:
-        pairs = similarity_join(sets, least, id_col, items)
-        if least == steps[-1] or pairs.limit(limit).count() == limit:
-            return pairs.orderBy(F.desc("similarity"), "i", "j").limit(limit)
+        top = _joined(base, ordered, least).orderBy(F.desc("similarity"), "i", "j").limit(limit).persist()
+        if least == steps[-1] or top.count() == limit:
+            return top
     raise ValueError("steps is empty")
 
 
@@ -54,11 +63,11 @@ def nearest_pairs(docs: DataFrame, limit: int = 50, id_col: str = "doc_id", text
     first = docs.groupBy(F.md5(F.coalesce(text, F.lit(""))).alias("_k")).agg(F.min(id_col).alias("id")).select("id")
     sets = docs.withColumn("id", F.col(id_col)).join(first, "id").select("id", token_set(text).alias("items"), F.col(text).alias("_t"))
     top = top_pairs(sets.select("id", "items"), limit)
-    grams = sets.select("id", shingles("_t").alias("g"))
+    # as many rows as the limit, twice: texts of these ids only are cut into shingles
+    ids = top.select(F.col("i").alias("id")).union(top.select(F.col("j").alias("id"))).distinct()
+    grams = sets.select("id", "_t").join(F.broadcast(ids), "id").select("id", shingles("_t").alias("g")).persist()
     left, right = grams.select(F.col("id").alias("i"), F.col("g").alias("ga")), grams.select(F.col("id").alias("j"), F.col("g").alias("gb"))
-    # as many rows as the limit
-    met = F.broadcast(top)
-    both = left.join(met, "i").join(F.broadcast(right.join(F.broadcast(top.select("j").distinct()), "j")), "j")
+    both = F.broadcast(top).join(left, "i").join(right, "j")
     k = F.size(F.array_intersect("ga", "gb"))
     lineage = k / (F.size("ga") + F.size("gb") - k)
     out = both.select("i", "j", F.col("similarity").alias("functional"), lineage.alias("lineage"))

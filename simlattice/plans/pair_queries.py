@@ -176,11 +176,11 @@ def style_removed(spark, sf_dir):
 
 
 def _retrieval(spark, sf_dir):
-    """Distances by price of parts to parts of their type, where twins share a name."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_type", "p_brand", "p_name", "p_retailprice")
-    a = rows.select("p_type", F.col("id").alias("a"), F.col("p_name").alias("na"), F.col("p_brand").alias("ba"), F.col("p_retailprice").alias("pa"))
-    b = rows.select("p_type", F.col("id").alias("b"), F.col("p_name").alias("nb"), F.col("p_brand").alias("source"), F.col("p_retailprice").alias("pb"))
-    met = a.join(b, "p_type").filter("a <> b").withColumn("d", F.round(F.abs(F.col("pa") - F.col("pb")), 2))
+    """Distances by price of parts to parts of their type and size class, where twins share a name."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_type", (F.col("p_size") % 10).alias("size"), "p_brand", "p_name", "p_retailprice")
+    a = rows.select("p_type", "size", F.col("id").alias("a"), F.col("p_name").alias("na"), F.col("p_brand").alias("ba"), F.col("p_retailprice").alias("pa"))
+    b = rows.select("p_type", "size", F.col("id").alias("b"), F.col("p_name").alias("nb"), F.col("p_brand").alias("source"), F.col("p_retailprice").alias("pb"))
+    met = a.join(b, ["p_type", "size"]).filter("a <> b").withColumn("d", F.round(F.abs(F.col("pa") - F.col("pb")), 2))
     return met, met.filter("na = nb and ba <> source").select("a", "b")
 
 
@@ -328,7 +328,7 @@ def _trait_sql(docs: str) -> str:
 
 
 _BTRAIT = _trait_sql("SELECT item_id AS id, text FROM benchmark")
-_RET = """rt AS (SELECT a.p_partkey AS a, b.p_partkey AS b, b.p_brand AS source, a.p_name = b.p_name AND a.p_brand <> b.p_brand AS twin, round(abs(a.p_retailprice - b.p_retailprice), 2) AS d FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_partkey <> b.p_partkey)"""
+_RET = """rt AS (SELECT a.p_partkey AS a, b.p_partkey AS b, b.p_brand AS source, a.p_name = b.p_name AND a.p_brand <> b.p_brand AS twin, round(abs(a.p_retailprice - b.p_retailprice), 2) AS d FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size % 10 = b.p_size % 10 AND a.p_partkey <> b.p_partkey)"""
 _RANK = "SELECT t.a, t.b, 1 + count(*) FILTER (o.d < t.d) + (count(*) FILTER (o.d = t.d) - 1) / 2 AS rank FROM rt t JOIN rt o ON o.a = t.a {0} WHERE t.twin GROUP BY 1, 2"
 _HILL = "p AS (SELECT n::DOUBLE / sum(n) OVER () AS p, n FROM c) SELECT count(*)::DOUBLE AS q0, round(exp(-sum(p * ln(p))), 6) AS q1, round(1 / sum(p * p), 6) AS q2, round(sum(n) / count(*), 6) AS redundancy FROM p"
 _AUC = "r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS r FROM v) SELECT round(1 - (sum(r) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2) / (count(*) FILTER (pos) * (count(*) FILTER (NOT pos))::DOUBLE), 6) AS auc FROM r"
