@@ -236,7 +236,7 @@ def ranked(df: DataFrame, by: list[str], order: list[str], name: str, first: Col
     from pyspark.sql import Window
 
     tier = F.lit(0) if first is None else first
-    df = df.withColumn("_tier", tier.cast("int")).withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    df = df.withColumn("_tier", tier.cast("int")).withColumn("_bucket", F.pmod(F.xxhash64(F.lit("bucket"), *order), F.lit(buckets)).cast("int"))
     keys = [*by, "_tier", "_bucket"]
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_tier", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
