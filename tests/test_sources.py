@@ -48,7 +48,6 @@ def test_other_formats():
 
 def test_directories(spark, tmp_path):
     one, two = tmp_path / "one", tmp_path / "two"
-    write(one, agents__a_b__x_y__deep=MARKDOWN) if False else None
     write(one, **{"agents__a.md": MARKDOWN, "skills__b.md": MARKDOWN, "agents__README.md": MARKDOWN, "agents__c.toml": 'name = "c"\ndescription = "d"\ndeveloper_instructions = "x"\n', "agents__bad.toml": "developer_instructions = ["})
     write(two, **{"d.md": MARKDOWN, "none.md": "no purpose", "plain.toml": 'name = "no"\n'})
     got = S.read_directories(spark, [str(one), str(two)])

@@ -33,7 +33,7 @@ def test_tokens_and_shingles(spark):
 
 def test_normalise_and_phrases(spark):
     for t in ("Python. C++ and C#... node.js!", "", "...", "a a a", "É x"):
-        assert value(spark, T.normalise("t"), t=t) in (normal(t), normal(t).replace("  ", "  "))
+        assert value(spark, T.normalise("t"), t=t) == normal(t)
     assert value(spark, T.phrase_count(T.normalise("t"), F.lit("a")), t="a a a") == 2
     assert value(spark, T.phrase_count(T.normalise("t"), F.lit("python")), t="Pythonic python, Python.") == normal("Pythonic python, Python.").count(" python ")
 
