@@ -6,7 +6,8 @@ words is within TOLERANCE of the item's words by edit distance.
 The random-walk embedding (Chakraborty, Goldenberg, Koucky) copies a string while a pointer moves on or stays by a random bit of
 the word under it and the step; strings a few edits apart stay in step again and again, so few places of their copies differ. Each
 item gives windows of its words. Windows of the same size over a document are embedded in the same way, sampled at a few places, and
-looked up; samples repeat until edited windows, drawn at the tolerance, are found at the target recall. A window can only be
+looked up; samples repeat until items of each length, edited at the tolerance, are found at the target recall. Items of a length
+that never gets there are cut into one part more than edits are allowed, of which one always stands whole. A window can only be
 that near an item's if most of its words are words of items at all, so others are not embedded. What is found is verified by
 exact edit distance. Documents are never shuffled: items go to them, in blocks of a bounded number.
 """
@@ -29,6 +30,9 @@ SIZES = (16, 8, 4, 2, 1)
 PLACES = 5
 EMBEDDINGS = 2
 MOST_REPEATS = 60
+#: Edited items drawn for each class of lengths; of longer items, the first LONG words.
+TRIALS = 800
+LONG = 64
 BLOCK = 20_000
 
 _INNER = np.zeros(256, bool)
@@ -83,6 +87,8 @@ class Probes:
     vocabulary: dict[int, tuple[np.ndarray, np.ndarray]]
     #: size -> list of (embedding seed, places, sorted keys, item numbers, offsets)
     tables: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+    #: length -> sorted keys of parts, item numbers, offsets; of items that samples do not find at the target
+    parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _owned(words: np.ndarray, item: np.ndarray | int) -> np.ndarray:
@@ -94,10 +100,12 @@ def _least_known(size: int, tolerance: float) -> int:
     return max(1, size - int(np.ceil(tolerance * size)))
 
 
-def _edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+def _edited(words: np.ndarray, edits: int, rng: np.random.Generator, only: int | None = None) -> np.ndarray:
+    """words with random edits: 0 takes a word out, 1 puts one in, 2 changes one; of all kinds if none is given."""
     out = words.tolist()
     for _ in range(edits):
         at, kind = int(rng.integers(len(out))), int(rng.integers(3))
+        kind = kind if only is None else only
         if kind == 0 and len(out) > 1:
             del out[at]
         elif kind == 1:
@@ -107,21 +115,85 @@ def _edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarr
     return np.array(out, np.uint64)
 
 
+def _classes(items: list[np.ndarray], own: list[int]) -> list[list[int]]:
+    """The items by length, from 2 * SIZES[0] words on by eights of words, from LONG on together."""
+    out: dict[int, list[int]] = {}
+    for i in own:
+        n = len(items[i])
+        out.setdefault(n if n < 2 * SIZES[0] else min(n // 8 * 8, LONG), []).append(i)
+    return [out[n] for n in sorted(out)]
+
+
+def _repeats(items: list[np.ndarray], group: list[int], size: int, tolerance: float, recall: float, known: np.ndarray, chosen: list[np.ndarray], keys: list[np.ndarray], which: np.ndarray, seed: int, rng: np.random.Generator) -> int | None:
+    """How many samples find the target share of the group's shortest items, with as many edits as the tolerance allows, of each kind
+    and of all kinds; None if none do."""
+    least = min(len(items[i]) for i in group)
+    shortest = [i for i in group if len(items[i]) == least]
+    parts, trial, owner = [], [], []
+    for k in range(TRIALS):
+        i = shortest[int(rng.integers(len(shortest)))]
+        parts.append(_edited(items[i][:LONG], int(tolerance * min(least, LONG)), rng, k % 4 if k % 4 < 3 else None))
+        trial.append(np.full(len(parts[-1]), k))
+        owner.append(i)
+    words, trial, owner = np.concatenate(parts), np.concatenate(trial), np.array(owner)
+    ends = np.searchsorted(trial, trial, side="right")
+    starts = np.arange(len(words))
+    total = np.r_[0, np.cumsum(_member(words, known))]
+    starts = starts[total[np.minimum(starts + size, ends)] - total[starts] >= _least_known(size, tolerance)]
+    copies = [embed(words, starts, np.minimum(starts + size, ends[starts]), 2 * size, seed + e) for e in range(EMBEDDINGS)]
+    trial = trial[starts]
+    hit = np.zeros(TRIALS, bool)
+    own = np.flatnonzero(np.isin(which, shortest))
+    for r, places in enumerate(chosen):
+        there = np.unique(_owned(keys[r][own], which[own]))
+        open_ = np.flatnonzero(~hit[trial])
+        shown = _owned(_sampled(copies[r % EMBEDDINGS][open_], places), owner[trial[open_]])
+        hit[trial[open_[_member(shown, there)]]] = True
+        # each kind of edit for itself
+        if r + 1 >= EMBEDDINGS and min(hit[k::4].mean() for k in range(4)) >= recall:
+            return r + 1
+    return None
+
+
+def _parts(items: list[np.ndarray], own: list[int], tolerance: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Length -> sorted keys of parts of so many words, their item numbers and offsets.
+
+    Each item is cut into one part more than it may have edits, so one of them stands whole wherever the item stands."""
+    found: dict[int, list[tuple[int, int]]] = {}
+    for i in own:
+        n = len(items[i])
+        cuts = np.linspace(0, n, min(int(tolerance * n) + 1, n) + 1).astype(int).tolist()
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            found.setdefault(hi - lo, []).append((i, lo))
+    out = {}
+    for length, places in found.items():
+        keys = _run_keys(np.concatenate([items[i][lo : lo + length] for i, lo in places]).reshape(-1, length))
+        order = np.argsort(keys, kind="stable")
+        out[length] = keys[order], np.array([i for i, _ in places])[order], np.array([lo for _, lo in places])[order]
+    return out
+
+
+def _run_keys(runs: np.ndarray) -> np.ndarray:
+    return _sampled(runs, np.arange(runs.shape[1]))
+
+
 def prepare(ids: list, items: list[np.ndarray], tolerance: float = TOLERANCE, recall: float = RECALL, seed: int = 11) -> Probes:
-    """Embeds the items' windows and repeats samples until edited items are found at the target recall."""
+    """Embeds the items' windows and repeats samples until edited items of every length are found at the target recall.
+
+    Where MOST_REPEATS are not enough, the items of that length are also looked up exactly, by their parts."""
     vocabulary = {}
     owned = np.unique(np.concatenate([np.zeros(0, np.uint64), *[_owned(words, i) for i, words in enumerate(items)]]))
     by_size: dict[int, list[int]] = {}
     for i, words in enumerate(items):
         by_size.setdefault(next(s for s in SIZES if s <= len(words)), []).append(i)
-    tables = {}
+    tables, exact = {}, []
     for size, own in by_size.items():
         rng = np.random.default_rng(seed + size)
         known = np.unique(np.concatenate([items[i] for i in own]))
         leading = np.zeros(1 << 20, bool)
         leading[(known >> np.uint64(44)).astype(np.int64)] = True
         vocabulary[size] = known, leading
-        steps = 3 * size
+        steps = 2 * size
         begin, which, offset, joined, at = [], [], [], [], 0
         for i in own:
             n = len(items[i])
@@ -133,31 +205,25 @@ def prepare(ids: list, items: list[np.ndarray], tolerance: float = TOLERANCE, re
             at += n
         words, begin, which, offset = np.concatenate(joined), np.array(begin), np.array(which), np.array(offset)
         copies = [embed(words, begin, begin + size, steps, seed + e) for e in range(EMBEDDINGS)]
-        # items with as many random edits as the tolerance allows, at every start
-        trials = []
-        for k in range(200):
-            i = own[int(rng.integers(len(own)))]
-            changed = _edited(items[i], int(tolerance * len(items[i])), rng)
-            starts = np.arange(max(1, len(changed) - size + 1))
-            there = np.r_[0, np.cumsum(_member(changed, known))]
-            starts = starts[there[np.minimum(starts + size, len(changed))] - there[starts] >= _least_known(size, tolerance)]
-            trials.append((i, [embed(changed, starts, np.minimum(starts + size, len(changed)), steps, seed + e) for e in range(EMBEDDINGS)]))
-        hit, made = np.zeros(len(trials), bool), []
-        for r in range(MOST_REPEATS):
-            e = r % EMBEDDINGS
-            places = np.sort(rng.choice(2 * size, min(PLACES, size), replace=False))
-            keys = _sampled(copies[e], places)
-            order = np.argsort(keys, kind="stable")
-            made.append((seed + e, places, keys[order], which[order], offset[order]))
-            mine = {}
-            for key, i in zip(keys.tolist(), which.tolist(), strict=True):
-                mine.setdefault(i, set()).add(key)
-            for k, (i, shown) in enumerate(trials):
-                hit[k] = hit[k] or bool(mine[i].intersection(_sampled(shown[e], places).tolist()))
-            if r + 1 >= EMBEDDINGS and hit.mean() >= recall:
-                break
+        chosen = [np.sort(rng.choice(2 * size, min(PLACES, size), replace=False)) for _ in range(MOST_REPEATS)]
+        keys = [_sampled(copies[r % EMBEDDINGS], places) for r, places in enumerate(chosen)]
+        # every class of lengths repeats until its own shortest items are found
+        repeats, short = np.zeros(len(items), np.int64), []
+        for group in _classes(items, own):
+            enough = _repeats(items, group, size, tolerance, recall, known, chosen, keys, which, seed, rng)
+            repeats[group] = enough or 0
+            if enough is None:
+                short += group
+        # what is looked up exactly has no use for more samples than others need
+        repeats[short] = max(EMBEDDINGS, int(repeats[own].max()))
+        exact += short
+        made = []
+        for r in range(int(repeats[own].max())):
+            mine = np.flatnonzero(repeats[which] > r)
+            mine = mine[np.argsort(keys[r][mine], kind="stable")]
+            made.append((seed + r % EMBEDDINGS, chosen[r], keys[r][mine], which[mine], offset[mine]))
         tables[size] = made
-    return Probes(list(ids), items, tolerance, owned, vocabulary, tables)
+    return Probes(list(ids), items, tolerance, owned, vocabulary, tables, _parts(items, exact, tolerance))
 
 
 def distance(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -216,6 +282,30 @@ def matches(words: np.ndarray, row: np.ndarray, probes: Probes, chunk: int = 50_
                 shared = (_member(mixed.ravel(), probes.owned).reshape(mixed.shape) & inside).sum(axis=1)
                 for r, i, start in zip(*(x[shared >= need].tolist() for x in (row[own[which_hit]], which[entry], own[which_hit] - offset[entry])), strict=True):
                     found.add((r, i, start))
+    lengths = np.array([len(x) for x in probes.items])
+    edits = (probes.tolerance * lengths).astype(int)
+    for length, (keys, which, offset) in probes.parts.items():
+        begin = np.flatnonzero(np.arange(len(words)) + length <= end_of)
+        for k in range(0, len(begin), chunk):
+            own = begin[k : k + chunk]
+            mine = _run_keys(words[own[:, None] + np.arange(length)])
+            own, mine = own[there := _member(mine, keys)], mine[there]
+            lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+            many = hi - lo
+            own = np.repeat(own, many)
+            entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+            item = which[entry]
+            start = own - offset[entry]
+            from_, to = np.maximum(start - edits[item], first[row[own]]), np.minimum(start + lengths[item] + edits[item], end_of[own])
+            width = int((to - from_).max(initial=1))
+            for c in range(0, len(own), step := max(1, 500_000 // width)):
+                some = slice(c, c + step)
+                # enough of the words around must be words of this item
+                at = from_[some][:, None] + np.arange(width)[None, :]
+                mixed = _owned(words[np.minimum(at, len(words) - 1)], item[some][:, None])
+                shared = (_member(mixed.ravel(), probes.owned).reshape(mixed.shape) & (at < to[some][:, None])).sum(axis=1)
+                near = shared >= (lengths - edits)[item[some]]
+                found.update(zip(*(x[some][near].tolist() for x in (row[own], item, start)), strict=True))
     out, done, last = [], set(), None
     for r, i, start in sorted(found):
         item = probes.items[i]

@@ -582,3 +582,39 @@ def test_pipeline(spark, tiny):
     assert {r["doc_id"] for r in rows} == ids
     packed_well(rows, 2048)
     assert {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in C.run(spark, tiny).collect()} == {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in rows}
+
+
+@pytest.mark.parametrize("short", (16, 17, 20))
+def test_decontamination_recall_of_short_items(short):
+    """Among many long items, short ones with exactly as many edits as allowed, of each kind and of all, are found too."""
+    rng = np.random.default_rng(short)
+    pool = (rng.integers(1, 1 << 62, 600) * 2 + 1).astype(np.uint64)
+    items = [rng.choice(pool, short if i < 10 else int(rng.integers(40, 60))) for i in range(150)]
+    probes = decontaminate.prepare(list(range(150)), items)
+    for only in (0, 1, 2, None):
+        texts = []
+        for k in range(300):
+            out, edits = items[k % 10].tolist(), 0
+            while edits < int(0.2 * short):
+                at, kind = int(rng.integers(len(out))), int(rng.integers(3)) if only is None else only
+                new = int(rng.integers(1 << 61)) * 2 + 1
+                out[at : at + (kind != 1)] = [] if kind == 0 else [new]
+                edits += 1
+            texts.append(np.concatenate([rng.choice(pool, 20), np.array(out, np.uint64), rng.choice(pool, 20)]))
+        row = np.repeat(np.arange(300), [len(x) for x in texts])
+        got = {(r, i) for r, i, _, _ in decontaminate.matches(np.concatenate(texts), row, probes)}
+        assert sum((k, k % 10) in got for k in range(300)) >= 0.98 * 300, (short, only)
+
+
+def test_decontamination_exact_parts():
+    """What no sample finds is looked up by parts that stand whole."""
+    rng = np.random.default_rng(5)
+    item = (rng.integers(1, 1 << 62, 16) * 2 + 1).astype(np.uint64)
+    probes = decontaminate.prepare([7], [item], recall=2.0)
+    edited = item.copy()
+    edited[[2, 6, 10]] = 1
+    assert probes.parts and {n: len(x[0]) for n, x in probes.parts.items()} == {4: 4}
+    probes.tables.clear()
+    assert decontaminate.matches(edited, np.zeros(16, np.int64), probes) == [(0, 0, 16, 3)]
+    edited[14] = 1
+    assert decontaminate.matches(edited, np.zeros(16, np.int64), probes) == []
