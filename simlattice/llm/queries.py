@@ -94,7 +94,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import digest, find_secrets
 
-    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces=True)  # the SQL allows every path whole
     base = F.filter("secrets", lambda x: x["kind"] < 3)
     count = lambda k: F.size(F.filter("secrets", lambda x: x["kind"] == k)).cast("long")
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("secrets")).alias("spans"))

@@ -35,6 +35,10 @@ ALLOWED = (
     r"^[A-Za-z+/_=-]+$",  # words, with or without joints
     r"//|/[^/]*/[^/]*/",  # URLs and paths
 )
+#: Of them, the one that a run of key characters may meet by chance, since / is one of them.
+PATH = ALLOWED[-1]
+#: A piece of a path that is words and numbers with joints between.
+WORDS = r"^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[+_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))+$"
 _PLACE = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -84,12 +88,15 @@ def _highest(s: Column, window: int) -> Column:
     return F.lit(math.log2(window)) - low / window
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def find_secrets(docs: DataFrame, text_col: str = "text", window: int = WINDOW, pieces: bool = False) -> DataFrame:
     """Adds secrets, array<struct<start, kind, end>> by start, then kind (0 to 3, as in KINDS), over every whole text.
 
     A null or empty text has none. Rows are independent, so ties and repeated rows need no rule. Other columns pass through;
     columns named secrets or beginning with _x_ are replaced. An entropy span is a whole candidate of which a window reaches its class's bits, unless
     a base span overlaps it or the allow-list has it.
+
+    With pieces, a candidate that only looks like a path is kept if one of its pieces between slashes would be a secret for itself
+    and is not words.
     """
     docs = docs.drop("secrets", *[c for c in docs.columns if c.startswith("_x_")])
     columns = docs.columns
@@ -106,14 +113,23 @@ def find_secrets(docs: DataFrame, text_col: str = "text", window: int = WINDOW)
         ),
     )
 
-    def suspect(x: Column) -> Column:
-        allowed = [x["hit"].rlike(pattern) for pattern in ALLOWED]
-        return x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Za-z]") & ~functools.reduce(operator.or_, allowed)
+    def mixed(hit: Column, rules: tuple[str, ...]) -> Column:
+        return hit.rlike("[0-9]") & hit.rlike("[A-Za-z]") & ~functools.reduce(operator.or_, [hit.rlike(pattern) for pattern in rules])
 
-    found = F.filter(_places(t, CANDIDATE, 3), suspect)
+    rules = tuple(p for p in ALLOWED if p != PATH) if pieces else ALLOWED
+    found = F.filter(_places(t, CANDIDATE, 3), lambda x: mixed(x["hit"], rules))
     free = F.filter(found, lambda x: ~F.exists("_x_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    least = lambda x: F.when(x["hit"].rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), LEAST_HEX).otherwise(LEAST_ANY)
-    added = _plain(F.filter(free, lambda x: _highest(x["hit"], window) >= least(x)))
+
+    def high(hit: Column) -> Column:
+        return _highest(hit, window) >= F.when(hit.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), LEAST_HEX).otherwise(LEAST_ANY)
+
+    def secret(hit: Column) -> Column:
+        if not pieces:
+            return high(hit)
+        own = F.exists(F.split(hit, "/"), lambda p: F.when(F.length(p) >= window, mixed(p, (*rules, WORDS)) & high(p)).otherwise(False))
+        return F.when(hit.rlike(PATH), own).otherwise(high(hit))
+
+    added = _plain(F.filter(free, lambda x: secret(x["hit"])))
     df = df.withColumn("_x_added", F.when(t.rlike(r"[A-Za-z0-9+/_=-]{20}"), added).otherwise(none))
     return df.select(*columns, F.array_sort(F.concat("_x_base", "_x_added")).alias("secrets"))
 
@@ -126,7 +142,7 @@ def digest(places: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """The documents with each found span replaced by mark; overlapping spans give one mark. Null texts stay null."""
-    found = find_secrets(docs, text_col)
+    found = find_secrets(docs, text_col, pieces=True)
     t = F.col(text_col)
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

@@ -397,6 +397,22 @@ def test_redact(spark):
     assert {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()} == {1: "x [secret] y", 2: None, 3: "plain"}
 
 
+def test_secrets_in_paths(spark):
+    rng = random.Random(4)
+    base64 = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(48, 58)])) + "+/"
+    keys = ["".join(rng.choice(base64) for _ in range(n)) for n in (64, 128, 256, 512) for _ in range(25)]
+    tokens = ["com/services/T02AB3CD4/B05EF6GH7/k3Jd8sLq0Zp1Xv7Rt2Wn5YbM", "/v1/keys/9f8/Zk3Jd8sLq0Zp1Xv7Rt2Wn5YbM"]
+    paths = ["/usr/share/doc/python3/changelog", "//cdn/assets/2024-release-notes-final-version/index", "src/main/java/com/company2/application/Main"]
+    df = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate([*keys, *tokens, *paths])], "doc_id long, text string")
+    got = {r["doc_id"]: [(x["start"], x["kind"], x["end"]) for x in r["secrets"]] for r in secrets.find_secrets(df, pieces=True).collect()}
+    least = len(keys)
+    assert sum(got[i] == [(2, 3, 2 + len(t))] for i, t in enumerate(keys)) >= 0.97 * least
+    assert all(got[least + i] == [(2, 3, 2 + len(t))] for i, t in enumerate(tokens))
+    assert all(got[least + len(tokens) + i] == [] for i in range(len(paths)))
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df.filter(F.col("doc_id").between(least, least + 4))).collect()}
+    assert [clean[least + i] for i in range(5)] == ["x [secret] y", "x [secret] y", *(f"x {t} y" for t in paths)]
+
+
 # decontamination
 
 
