@@ -149,7 +149,8 @@ def minhash(text: Column | str, n: int = 32, size: int = 5, seed: int = 1) -> Co
 def minhash_pairs(sketches: DataFrame, band: int = 4, least: float = 0.5, id_col: str = "id", sketch: str = "sketch") -> DataFrame:
     """(i, j, similarity): the share of equal slots of pairs that agree in a whole band of slots, where it is least or more.
 
-    Records of equal sketches meet through their smallest id only: (class, member) pairs tell the rest."""
+    A pair that agrees in no whole band is missed; minhash_join misses none. Records of equal sketches meet through their smallest id
+    only: sketch_members tells the rest."""
     own = sketches.select(F.col(id_col).alias("id"), F.col(sketch).alias("s"))
     classes = own.groupBy("s").agg(F.min("id").alias("id"))
     # int ids of bands; the slots of a band are its key
@@ -161,6 +162,33 @@ def minhash_pairs(sketches: DataFrame, band: int = 4, least: float = 0.5, id_col
     return both.select("i", "j", same.alias("similarity")).filter(F.col("similarity") >= least)
 
 
+def minhash_join(sketches: DataFrame, least: float = 0.5, id_col: str = "id", sketch: str = "sketch") -> DataFrame:
+    """(i, j, similarity) of all pairs of distinct sketches of one length whose share of equal slots is least or more, exactly.
+
+    Slots and their values are items, ordered from rare to frequent: two sketches of n slots that share k of them share one of the first
+    n - k + 1 of each. A sketch stands under its smallest id; sketch_members has the rest."""
+    if least <= 0:
+        raise ValueError("pairs that share no slot are not made")
+    own = sketches.select(F.col(id_col).alias("_id"), F.col(sketch).alias("_s")).groupBy("_s").agg(F.min("_id").alias("_id"))
+    items = F.filter(F.transform("_s", lambda x, k: F.struct(k.alias("slot"), x.alias("value"))), lambda x: x["value"].isNotNull())
+    base = own.select("_id", "_s", items.alias("_items")).filter(F.size("_items") > 0)
+    slots = base.select("_id", F.size("_s").alias("_all"))
+    rows = _ordered(base).join(slots, "_id")
+    need = F.greatest(F.ceil(F.col("_all") * least - 1e-9).cast("int"), F.lit(1))
+    first = rows.select("_id", F.explode(F.slice("_o", F.lit(1), F.greatest(F.col("_n") - need + 1, F.lit(0)))).alias("_p")).filter("_p._df > 1").select("_id", F.col("_p._x").alias("_x"))
+    met = first.select("_x", F.col("_id").alias("i")).join(first.select("_x", F.col("_id").alias("j")), "_x").filter("i < j").select("i", "j").distinct()
+    both = met.join(base.select(F.col("_id").alias("i"), F.col("_s").alias("sa")), "i").join(base.select(F.col("_id").alias("j"), F.col("_s").alias("sb")), "j").filter(F.size("sa") == F.size("sb"))
+    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x)) / F.size("sa")
+    return both.select("i", "j", same.alias("similarity")).filter(F.col("similarity") >= least - 1e-12)
+
+
+def sketch_members(sketches: DataFrame, id_col: str = "id", sketch: str = "sketch") -> DataFrame:
+    """(class, member): the records of each sketch that several have, under the smallest id; the smallest is a member too."""
+    own = sketches.select(F.col(id_col).alias("member"), F.col(sketch).alias("_s"))
+    classes = own.groupBy("_s").agg(F.min("member").alias("class"), F.count("*").alias("_n")).filter("_n > 1")
+    return own.join(classes, "_s").select("class", "member")
+
+
 def shared_rare(items: DataFrame, n: int | Column, max_others: int = 3, id_col: str = "id", item: str = "item") -> DataFrame:
     """(i, j, score, terms) of records in the corpus that share terms which few others have.
 

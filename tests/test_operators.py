@@ -154,6 +154,24 @@ def test_minhash_follows_jaccard(spark):
     assert len(got) > 15 and abs(np.mean(errors)) < 0.05 and np.abs(errors).max() < 0.25
 
 
+def test_minhash_join_needs_no_band(spark):
+    rng = random.Random(7)
+    base = [rng.randrange(10**6) for _ in range(32)]
+    # equal in two slots of every four: half the slots, but no band of four
+    half = [x if k % 4 < 2 else x + 10**6 for k, x in enumerate(base)]
+    rows = [(1, base), (2, half), (3, base)]
+    for i in range(4, 60):
+        rows.append((i, [rng.choice((x, rng.randrange(3))) for x in rng.choice(rows)[1]]))
+    df = spark.createDataFrame(rows, "id long, sketch array<long>")
+    first = {}
+    for i, s in rows:
+        first.setdefault(tuple(s), i)
+    want = {(i, j): n / 32 for s, i in first.items() for t, j in first.items() if i < j and (n := sum(x == y for x, y in zip(s, t, strict=True))) >= 16}
+    assert {(r["i"], r["j"]): r["similarity"] for r in P.minhash_join(df, 0.5).collect()} == want and want[(1, 2)] == 0.5
+    assert (1, 2) not in {(r["i"], r["j"]) for r in P.minhash_pairs(df, 4, 0.5).collect()}
+    assert {(r["class"], r["member"]) for r in P.sketch_members(df).collect()} >= {(1, 1), (1, 3)}
+
+
 def test_shared_rare(spark):
     docs = ["dapper query mapper", "dapper handles mapper", "plain query text", "plain text", "query plain"]
     rows = spark.createDataFrame(list(enumerate(docs)), "id long, t string").select("id", F.explode(T.terms("t")).alias("item"))
