@@ -225,8 +225,9 @@ def plan(histogram: dict[int, int], capacity: int = 2048, rounds: int = 4, prici
 
     if left[capacity]:
         take((capacity,), int(left[capacity]))
-    for _ in range(rounds):
-        if left.sum() < 4 * capacity:
+    for r in range(rounds):
+        # one round at every size; what few pieces a round leaves need no other
+        if not left.any() or r and left.sum() < 4 * capacity:
             break
         before = left.sum()
         for own, k in sorted(_relaxed(left, capacity, pricings, at_once).items(), key=lambda x: (-x[1], x[0])):

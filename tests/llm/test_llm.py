@@ -157,6 +157,17 @@ def test_packing_large_items():
     assert sum(k for _, k in packing.plan({600: 1000, 500: 700, 424: 300, 100: 50}, 1024)) == 1350
 
 
+@pytest.mark.parametrize("n", (1, 40, 1000))
+def test_packing_of_few_pieces_runs_the_program(n, monkeypatch):
+    rounds, relaxed = [], packing._relaxed
+    monkeypatch.setattr(packing, "_relaxed", lambda *a: rounds.append(relaxed(*a)) or rounds[-1])
+    lengths = np.minimum(np.random.default_rng(n).lognormal(6, 1, n).astype(int) + 1, 2000)
+    plan = packing.plan(Counter(lengths.tolist()), 2048)
+    assert rounds and rounds[0]
+    assert Counter(x for own, k in plan for x in own for _ in range(k)) == Counter(lengths.tolist()) and all(sum(own) <= 2048 for own, _ in plan)
+    assert packing.plan({}, 2048) == []
+
+
 # near-dedup
 
 
