@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import LOWER, SPACE, flat, hashes, mix, slices, spans
 
 #: Texts of a language that are fitted, about, and characters of each; languages that a sample has.
-SAMPLE, STRETCH, LANGUAGES = 400, 3000, 64
+SAMPLE, STRETCH = 400, 3000
 TABLE = 1 << 16
 SEGMENT = 128
 UNKNOWN = "und"
@@ -260,11 +260,13 @@ def fit(texts: list[str], tags: list[str], steps: int = 120, many: int = 48, len
             # expected moves between neighbours
             same = owner[1:] == owner[:-1]
             local = np.exp(scores[back] - scores[back].max(axis=1, keepdims=True))
-            joint = ahead[:-1][same][:, :, None] * np.exp(transitions)[None] * (local * behind)[1:][same][:, None, :]
-            joint /= joint.sum(axis=(1, 2), keepdims=True)
+            before, after, joint = ahead[:-1][same], (local * behind)[1:][same], np.zeros((k, k))
+            for c in range(0, len(before), some := max(1, 4_000_000 // k**2)):  # many languages need many cells for each move
+                own = before[c : c + some][:, :, None] * np.exp(transitions)[None] * after[c : c + some][:, None, :]
+                joint += (own / own.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
             true = np.zeros((k, k))
             np.add.at(true, (tag[:-1][same], tag[1:][same]), 1.0)
-            step = (true - joint.sum(axis=0)) / many - decay * transitions
+            step = (true - joint) / many - decay * transitions
             moved += step * step
             transitions += rate * 0.3 * step / np.sqrt(moved)
     return Model(languages, weights.astype(np.float32), transitions, lexicon)
@@ -276,9 +278,9 @@ def fold(of: int, id_col: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, keep: Column, sample: int = SAMPLE, stretch: int = STRETCH) -> Model:
     """Fits to about `sample` texts of each language of docs(doc_id, text, lang) for which keep holds, `stretch` characters of each
-    from a place that a hash gives. Rows with null text or lang are left out; of languages, the LANGUAGES most frequent count."""
+    from a place that a hash gives. Rows with null text or lang are left out; every language counts."""
     rows = docs.select("doc_id", "text", "lang").filter(keep & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}
     if not count:
         return fit([], [])
     share = F.create_map(*[F.lit(x) for lang, n in count.items() for x in (lang, int(min(1.0, sample / n) * (1 << 30)))])

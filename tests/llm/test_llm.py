@@ -645,3 +645,14 @@ def test_decontamination_exact_parts():
     assert decontaminate.matches(edited, np.zeros(16, np.int64), probes) == [(0, 0, 16, 3)]
     edited[14] = 1
     assert decontaminate.matches(edited, np.zeros(16, np.int64), probes) == []
+
+
+def test_language_learns_every_language(spark):
+    rng = random.Random(2)
+    word = lambda k: f"{chr(97 + k % 26)}{chr(97 + k // 26)}" + rng.choice(("ra", "lo", "mi"))
+    rows = [(3 * k + d, " ".join(word(k) for _ in range(30)), f"l{k:02}") for k in range(70) for d in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df, F.lit(True))
+    assert model.languages == sorted({r[2] for r in rows})
+    rare = language.predict(df.filter("lang >= 'l64'"), model).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in rare) >= 0.8 * len(rare) and len(rare) == 18
