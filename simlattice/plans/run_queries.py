@@ -133,7 +133,7 @@ def _two(spark, sf_dir):
 
 
 def mantel(spark, sf_dir):
-    return B.mantel(_two(spark, sf_dir), permutations=199)
+    return B.mantel(_two(spark, sf_dir))
 
 
 def _estate(spark, sf_dir):

@@ -115,3 +115,10 @@ def test_tables(spark):
     assert S.hdbscan(pairs, ids).count() == 9
     with pytest.raises(ValueError):
         S.hdbscan(pairs, ids, most=5)
+
+
+def test_mantel_query_has_all_permutations(spark, tiny, monkeypatch):
+    from simlattice.plans import run_queries
+
+    monkeypatch.setattr(run_queries.B, "mantel", lambda pairs, permutations=999: permutations)
+    assert run_queries.mantel(spark, tiny) == 999
