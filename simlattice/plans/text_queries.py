@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simlattice.functions import answers as A
 from simlattice.functions import text as T
 from simlattice.operators import records as R
 from simlattice.sources.records import latest
@@ -208,10 +209,38 @@ def wilson_interval(spark, sf_dir):
     return own.withColumn("w", T.wilson(F.col("passed"), F.col("n"))).select("l_suppkey", "passed", "n", F.round("w.low", 6).alias("low"), F.round("w.high", 6).alias("high"))
 
 
+def _answers(spark, sf_dir):
+    """Documents as answers: a fix in Python, a test in a block of its own, the text in the document's language, and an open block."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.translate(F.coalesce("text", F.lit("")), "\r\f\x0b\x85\u2028\u2029", "").alias("text"))
+    fix = F.format_string("def f_%d():\n    return 1\nX = Y = %d", F.col("doc_id"), F.col("doc_id"))
+    test = F.format_string("def test_f_%d():\n    assert f_%d()", F.col("doc_id"), F.col("doc_id"))
+    answer = F.concat(F.lit("I say\n````python\n"), fix, F.lit("\n```\n~~~\n"), test, F.lit("\n~~~~\n``` "), F.upper("lang"), F.lit(" \n"), F.col("text"), F.lit("\n```\n```\nopen"))
+    return docs.select("doc_id", fix.alias("fix"), answer.alias("answer"))
+
+
+def code_blocks(spark, sf_dir):
+    out = _answers(spark, sf_dir).select("doc_id", F.posexplode(A.code_blocks("answer")).alias("k", "b"))
+    return out.select("doc_id", "k", F.col("b.lang").alias("lang"), F.md5("b.code").alias("digest"))
+
+
+def top_level_names(spark, sf_dir):
+    return _answers(spark, sf_dir).select("doc_id", F.array_join(A.top_level_names("fix"), ",").alias("names"))
+
+
+def extracted_code(spark, sf_dir):
+    return _answers(spark, sf_dir).select("doc_id", A.extract_code("answer", "fix").alias("code"), F.md5(A.extract_code("answer")).alias("last"))
+
+
+def extracted_files(spark, sf_dir):
+    files = F.create_map(F.lit("other.py"), F.lit("Z = 1"), F.lit("fix.py"), F.col("fix"))
+    out = _answers(spark, sf_dir).withColumn("files", files).select("doc_id", A.extract_files("answer", "files").alias("changed"))
+    return out.select("doc_id", F.explode_outer("changed").alias("file", "code")).filter("file is not null")
+
+
 QUERIES = {f.__name__: f for f in (
     first_of_equal, dedupe_copies, assign_ids, strip_source_boilerplate, strip_lines, token_counts, normalised_text, content_terms, style_features, file_stems, record_keys, strip_name,
     prompt_sections, agent_modules, copy_debt, pan_genome, shared_needs, transfer_candidates, merge_candidates, drift_pairs, todo_requests, latest_by_key, in_flight, to_judge, request_grid,
-    plan_cost, task_reasons, task_tally, rescored, source_sample, wilson_interval,
+    plan_cost, task_reasons, task_tally, rescored, source_sample, wilson_interval, code_blocks, top_level_names, extracted_code, extracted_files,
 )}
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOPWORDS)
@@ -224,6 +253,8 @@ r AS (SELECT doc_id, list_filter(string_split(replace(text, chr(10) || 'T', chr(
 e AS (SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM r)),
 s AS (SELECT *, sum(CASE WHEN i = 1 OR ltrim(line)[1] = '#' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM e),
 blocks AS (SELECT doc_id::VARCHAR AS agent_id, k::INTEGER AS k, string_agg(line, chr(10) ORDER BY i) AS content FROM s GROUP BY doc_id, k)"""
+_FIX = "'def f_' || doc_id || '():' || chr(10) || '    return 1' || chr(10) || 'X = Y = ' || doc_id"
+_TEST = "'def test_f_' || doc_id || '():' || chr(10) || '    assert f_' || doc_id || '()'"
 _SCORES = """
 n AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2),
 sc AS (SELECT a.p_brand AS a, b.p_brand AS b, sum(least(a.n, b.n))::DOUBLE / sum(greatest(a.n, b.n)) AS score FROM n a JOIN n b USING (p_type) WHERE a.p_brand < b.p_brand GROUP BY 1, 2),
@@ -231,6 +262,11 @@ br AS (SELECT DISTINCT p_brand FROM part),
 w AS (SELECT x.p_brand AS a, y.p_brand AS b FROM br x, br y WHERE x.p_brand <> y.p_brand)"""
 
 ORACLE = {
+    "code_blocks": f"""SELECT doc_id, 0 AS k, 'python' AS lang, md5({_FIX}) AS digest FROM documents UNION ALL SELECT doc_id, 1, '', md5({_TEST}) FROM documents
+        UNION ALL SELECT doc_id, 2, lower(coalesce(lang, '')), md5(regexp_replace(coalesce(text, ''), '[\\r\\f\\x0b\\x{{85}}\\x{{2028}}\\x{{2029}}]', '', 'g')) FROM documents""",
+    "top_level_names": "SELECT doc_id, 'X,Y,f_' || doc_id AS names FROM documents",
+    "extracted_code": f"SELECT doc_id, {_FIX} AS code, md5({_TEST}) AS last FROM documents",
+    "extracted_files": f"SELECT doc_id, 'fix.py' AS file, {_FIX} AS code FROM documents",
     "first_of_equal": "SELECT min(doc_id) AS doc_id, lang, md5(text) AS digest FROM documents GROUP BY text, lang",
     "dedupe_copies": """WITH p AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents)
         SELECT min(doc_id) AS row_idx, min_by(source, doc_id) AS source, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (n > 1), '') AS copies FROM p GROUP BY text""",

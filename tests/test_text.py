@@ -115,22 +115,32 @@ open
 """
 
 
-def test_code_blocks():
-    assert A.code_blocks(ANSWER) == [("python", "def f():\n    return 1"), ("", "assert f()")]
-    assert A.code_blocks(None) == [] and A.code_blocks("````py\nx = 1\n````") == [("py", "x = 1")]
+def blocks_of(spark, text):
+    return [tuple(b) for b in spark.createDataFrame([(text,)], "t string").select(A.code_blocks("t").alias("b")).first()["b"]]
+
+
+def test_code_blocks(spark):
+    assert blocks_of(spark, ANSWER) == [("python", "def f():\n    return 1"), ("", "assert f()")]
+    assert blocks_of(spark, None) == [] and blocks_of(spark, "````py\nx = 1\n````") == [("py", "x = 1")]
+    assert blocks_of(spark, "  ``` Py \r\n\ta\r\n\r\n```js\n~~~~\n```\n```") == [("py", "\ta\n\n```js"), ("", "")]
+    assert blocks_of(spark, "~~\n``\n```\nopen") == []
 
 
 def test_extraction(spark):
     fix, test = "def f():\n    return 2", "def test_f():\n    assert f()"
     answer = f"```python\n{fix}\n```\n```python\n{test}\n```"
-    assert A.extract_code(answer, "def f():\n    return 1") == fix
-    assert A.extract_code(answer) == test and A.extract_code("none") is None
-    assert A.extract_code("```js\nx\n```", "") == "x"
-    assert A.top_level_names("X = 1\nclass C: pass\nasync def g(): pass\nx.y = 2\n") == {"X", "C", "g"} and A.top_level_names("def (") == set()
+    code = lambda t, r=None: spark.createDataFrame([(t, r)], "t string, r string").select(A.extract_code("t", None if r is None else "r").alias("c")).first()["c"]
+    assert code(answer, "def f():\n    return 1") == fix
+    assert code(answer) == test and code("none") is None and code(None) is None
+    assert code("```js\nx\n```", "") == "x" and code("```js\nx\n```\n```py\ny\n```\n```c\nz\n```") == "y"
+    assert A.names_of("X = Y = 1\nclass C: pass\nasync def g(): pass\nx.y = 2\na, b = 1, 2\nif X:\n    Z = 1\nW: int = 1\n") == {"X", "Y", "C", "g"}
+    assert A.names_of("def (") == A.names_of(None) == A.names_of("\0") == frozenset()
+    names = spark.createDataFrame([("b = 1\ndef a(): pass",), (None,)], "c string").select(A.top_level_names("c").alias("n")).collect()
+    assert [r["n"] for r in names] == [["a", "b"], []]
     files = {"a.py": "def a(): pass", "b.py": "def b(): pass"}
-    assert A.extract_files("```python\n# file: a.py\nnew\n```\n```python\ndef b(): return 1\n```", files) == {"a.py": "new"}
-    assert A.extract_files("```python\ndef b(): return 1\n```", files) == {"b.py": "def b(): return 1"}
-    rows = spark.createDataFrame([(answer, "def f(): pass")], "t string, r string").select(A.extract_code_udf("t", "r").alias("c"), A.code_blocks_udf("t").alias("b"), A.top_level_names_udf("r").alias("n")).first()
-    assert rows["c"] == fix and len(rows["b"]) == 2 and rows["n"] == ["f"]
-    got = spark.createDataFrame([("```python\n# file: a.py\nnew\n```", files)], "t string, o map<string,string>").select(A.extract_files_udf("t", "o").alias("f")).first()
-    assert got["f"] == {"a.py": "new"}
+    changed = lambda t, f=files: spark.createDataFrame([(t, f)], "t string, f map<string,string>").select(A.extract_files("t", "f").alias("m")).first()["m"]
+    assert changed("```python\n# file: a.py\nnew\n```\n```python\ndef b(): return 1\n```") == {"a.py": "new"}
+    assert changed("```python\ndef b(): return 1\n```") == {"b.py": "def b(): return 1"}
+    assert changed("```python\n# File: a.py\none\n```\n```\n# file:  a.py \ntwo\nthree\n```") == {"a.py": "two\nthree"}
+    assert changed("```python\n# file: c.py\ndef a(): return 1\n```\n```python\ndef a(): return 2\n```") == {}
+    assert changed("```js\ndef a(): return 1\n```") == changed(None) == changed("```\nz = 1\n```") == {}
