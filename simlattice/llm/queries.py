@@ -115,7 +115,13 @@ QUERIES = {
 
 def _sql10() -> str:
     """Places from a split's pieces and the matches between them; a window's entropy by the engine's own aggregate."""
-    from .secrets import ACCESS, ALLOWED, ASSIGN, CANDIDATE, HEX, LEAST_ANY, LEAST_HEX, WINDOW
+    # stated here on its own, not read from the operator
+    assign, access, hex_ = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}"
+    candidate, window, least_hex, least_any = "[A-Za-z0-9+/_=-]{20,}", 20, 2.95, 3.62
+    no_secret = (
+        "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", "(?i)example|placeholder|changeme|lorem|xxxx|redacted", "(?i)0123456789|abcdefghijkl|qwertyuiop",
+        "^[0-9+/_=-]+$", "^[A-Za-z+/_=-]+$", "//|/[^/]*/[^/]*/",
+    )
 
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
@@ -128,15 +134,15 @@ def _sql10() -> str:
             SELECT r, regexp_extract_all(t, {p}) AS hits, regexp_extract_all(t, {p}, {group}) AS parts, string_split_regex(t, {p}) AS pieces FROM d)))
           WHERE length(part) >= {least}"""
 
-    allowed = " ".join(f"AND NOT regexp_matches(hit, {quoted(p)})" for p in ALLOWED)
+    allowed = " ".join(f"AND NOT regexp_matches(hit, {quoted(p)})" for p in no_secret)
     return f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-base AS MATERIALIZED (SELECT r, kind, s::BIGINT AS s, (s + length(hit))::BIGINT AS e FROM ({kind(0, ASSIGN, 2, 8)} UNION ALL {kind(1, ACCESS, 0, 0)} UNION ALL {kind(2, HEX, 0, 0)})),
-cand AS MATERIALIZED (SELECT r, kind, hit, s::BIGINT AS s, (s + length(hit))::BIGINT AS e FROM ({kind(3, CANDIDATE, 0, 0)})
+base AS MATERIALIZED (SELECT r, kind, s::BIGINT AS s, (s + length(hit))::BIGINT AS e FROM ({kind(0, assign, 2, 8)} UNION ALL {kind(1, access, 0, 0)} UNION ALL {kind(2, hex_, 0, 0)})),
+cand AS MATERIALIZED (SELECT r, kind, hit, s::BIGINT AS s, (s + length(hit))::BIGINT AS e FROM ({kind(3, candidate, 0, 0)})
          WHERE regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') {allowed}),
 added AS (SELECT r, kind, s, e FROM cand c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = c.r AND b.s < c.e AND c.s < b.e)
-          AND list_max(list_transform(range(1, length(hit) - {WINDOW} + 2), lambda i: list_aggregate(string_split(substr(hit, i, {WINDOW}), ''), 'entropy')))
-              >= CASE WHEN regexp_matches(hit, '^([0-9a-f]+|[0-9A-F]+)$') THEN {LEAST_HEX} ELSE {LEAST_ANY} END),
+          AND list_max(list_transform(range(1, length(hit) - {window} + 2), lambda i: list_aggregate(string_split(substr(hit, i, {window}), ''), 'entropy')))
+              >= CASE WHEN regexp_matches(hit, '^([0-9a-f]+|[0-9A-F]+)$') THEN {least_hex} ELSE {least_any} END),
 every AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || s || ':' || e AS x FROM (SELECT * FROM base UNION ALL SELECT * FROM added))
 SELECT any_value(doc_id) AS doc_id, (count(*) FILTER (kind = 0))::BIGINT AS n_assign, (count(*) FILTER (kind = 1))::BIGINT AS n_access,
        (count(*) FILTER (kind = 2))::BIGINT AS n_hex,

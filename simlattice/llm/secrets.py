@@ -38,7 +38,7 @@ ALLOWED = (
 #: Of them, the one that a run of key characters may meet by chance, since / is one of them.
 PATH = ALLOWED[-1]
 #: A piece of a path that is words and numbers with joints between.
-WORDS = r"^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[+_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))+$"
+WORDS = r"^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[+_=-]+(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]++))++$"
 _PLACE = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -64,28 +64,47 @@ def _plain(places: Column) -> Column:
     return F.transform(places, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
 
-def _highest(s: Column, window: int) -> Column:
-    """The highest Shannon entropy, in bits a character, of s's windows, from sums of n*log2(n) over a window's counts n."""
-    weigh = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 1)])
-
-    def weight(n: Column) -> Column:
-        return F.element_at(weigh, n + 1)
-
-    def count(where: Column, char: Column) -> Column:
-        return F.length(where) - F.length(F.replace(where, char, F.lit("")))
+#: Counts of a window's characters: six bits each, ten to a long, for characters from + to z.
+_FIRST, _BITS, _EACH, _LONGS = ord("+"), 6, 10, 8
 
-    first = F.substring(s, 1, window)
-    total = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda sum_, c: sum_ + F.when(c == "", 0.0).otherwise(weight(count(first, c))))
 
-    def slide(state: Column, i: Column) -> Column:
-        both = F.substr(s, i + 1, F.lit(window - 1))
-        left, entered = count(both, F.substr(s, i, F.lit(1))), count(both, F.substr(s, i + window, F.lit(1)))
-        new = state["sum"] - weight(left + 1) + weight(left) - weight(entered) + weight(entered + 1)
-        return F.struct(new.alias("sum"), F.least(state["low"], new).alias("low"))
-
-    moves = F.when(F.length(s) > window, F.sequence(F.lit(1), F.length(s) - window)).otherwise(F.array().cast("array<int>"))
-    low = F.aggregate(moves, F.struct(total.alias("sum"), total.alias("low")), slide, lambda state: state["low"])
-    return F.lit(math.log2(window)) - low / window
+def _highest(s: Column, window: int) -> Column:
+    """The highest Shannon entropy, in bits a character, of s's windows, in one pass over s; null if s is shorter than a window.
+
+    The state carries the count of every character in the window, and the sum of n*log2(n) over them. A step reads and changes two counts,
+    of the character that enters and the one that leaves, and the sum by what these two change. s is of key characters, and window at most 62."""
+    weight = [n * math.log2(n) if n else 0.0 for n in range(window + 3)]
+    enters = F.array(*[F.lit(weight[n + 1] - weight[n]) for n in range(window + 2)])
+    leaves = F.array(*[F.lit(weight[max(n - 1, 0)] - weight[n]) for n in range(window + 2)])
+    mask = (1 << _BITS) - 1
+
+    def place(c: Column) -> Column:
+        k = F.ascii(c) - _FIRST
+        shift = k % _EACH * _BITS
+        return F.struct((k / _EACH).cast("int").alias("at"), shift.alias("shift"), F.call_function("shiftleft", F.lit(1).cast("long"), shift).alias("one"))
+
+    places = F.transform(F.split(s, ""), place)
+    nobody = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("shift"), F.lit(0).cast("long").alias("one"))
+    before = F.concat(F.array_repeat(nobody, window), places)
+    moves = F.zip_with(places, F.slice(before, F.lit(1), F.length(s)), lambda x, y: F.struct(x.alias("new"), y.alias("old")))
+
+    def count(state: Column, x: Column) -> Column:
+        word = F.lit(0).cast("long")
+        for j in reversed(range(_LONGS)):
+            word = F.when(x["at"] == j, state[f"n{j}"]).otherwise(word)
+        return F.call_function("shiftright", word, x["shift"]).bitwiseAND(mask).cast("int")
+
+    def slide(state: Column, x: Column) -> Column:
+        new, old = x["new"], x["old"]
+        same = (new["at"] == old["at"]) & (new["shift"] == old["shift"])
+        change = F.element_at(enters, count(state, new) + 1) + F.when(old["at"] >= 0, F.element_at(leaves, count(state, old) + 1)).otherwise(0.0)
+        total = F.when(same, state["sum"]).otherwise(state["sum"] + change)
+        counts = [(state[f"n{j}"] + F.when(new["at"] == j, new["one"]).otherwise(0) - F.when(old["at"] == j, old["one"]).otherwise(0)).alias(f"n{j}") for j in range(_LONGS)]
+        return F.struct(*counts, total.alias("sum"), (state["seen"] + 1).alias("seen"), F.when(state["seen"] + 1 >= window, F.least(state["low"], total)).alias("low"))
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(*[zero.alias(f"n{j}") for j in range(_LONGS)], F.lit(0.0).alias("sum"), F.lit(0).alias("seen"), F.lit(None).cast("double").alias("low"))
+    return F.lit(math.log2(window)) - F.aggregate(moves, start, slide, lambda state: state["low"]) / window
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", window: int = WINDOW, pieces: bool = False) -> DataFrame:

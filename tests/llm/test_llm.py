@@ -465,6 +465,29 @@ def test_secrets(spark):
     assert secrets.find_secrets(empty(spark)).count() == 0
 
 
+def test_entropy_of_windows(spark):
+    """The highest window by carried counts is the highest by counting every window, for any length and window."""
+    rng = random.Random(6)
+    pool = "+/0123456789=-_AZaz"
+    cases = ["".join(rng.choice(pool[: rng.randint(2, len(pool))]) for _ in range(rng.randint(20, 120))) for _ in range(150)] + ["a" * 20, "ab" * 5000 + "0123456789+/=-_ABCDEFG" + "b" * 9000]
+    df = spark.createDataFrame([(x,) for x in cases], "s string")
+    for window in (12, 20):
+        for r in df.select("s", secrets._highest(F.col("s"), window).alias("h")).collect():
+            s = r["s"]
+            want = max(-sum(n / window * math.log2(n / window) for n in Counter(s[k : k + window]).values()) for k in range(len(s) - window + 1))
+            assert r["h"] == pytest.approx(want, abs=1e-9)
+
+
+def test_secrets_of_long_candidates(spark):
+    """A run of key characters of a million takes one pass; words with joints are no secret, however many."""
+    rng = random.Random(11)
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(400_000))
+    df = spark.createDataFrame([(1, f"x {blob} y"), (2, "/a/b/" + "a-b-" * 100_000 + "1")], "doc_id long, text string")
+    got = {r["doc_id"]: [(x["start"], x["kind"], x["end"]) for x in r["secrets"]] for r in secrets.find_secrets(df, pieces=True).collect()}
+    allowed = any(re.search(p, blob) for p in secrets.ALLOWED[:-1])
+    assert got == {1: [] if allowed else [(2, 3, 400_002)], 2: []}
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, "x token=abcdefgh1 y"), (2, None), (3, "plain")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()} == {1: "x [secret] y", 2: None, 3: "plain"}
