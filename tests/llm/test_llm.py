@@ -318,6 +318,34 @@ def test_components(spark):
 # fingerprints
 
 
+def scrambled(h):
+    """The 64-bit scrambling of hashes, in plain numbers."""
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 % (1 << 64)
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB % (1 << 64)
+    return h ^ h >> 31
+
+
+def sketch_by_hand(text):
+    """(level, hashes): every 16-byte shingle's hash, at the least fraction that keeps 32, else all."""
+    raw = (text or "").encode()
+    cuts = {raw[k : k + 16] for k in range(len(raw) - 15)} or ({raw.ljust(16, b"\0")} if raw else set())
+    word = lambda x: int.from_bytes(x, "little")
+    every = sorted({scrambled((word(c[:8]) * 0x9FB21C651E98DF25 + scrambled(word(c[8:]) ^ 0xD6E8FEB86659FD93)) % (1 << 64)) >> 24 for c in cuts})
+    for level in (4, 3, 2, 1, 0):
+        kept = [h for h in every if h < (1 << 40) >> level]
+        if len(kept) >= 32 or not level:
+            return level, kept
+
+
+def likeness_by_hand(a, b):
+    if not a[1] or not b[1]:
+        return float(a[1] == b[1])
+    x, y = ({h for h in s if h < (1 << 40) >> max(a[0], b[0])} for s in (a[1], b[1]))
+    return len(x & y) / min(len(x), len(y)) if x and y else 0.0
+
+
 def test_fingerprints(spark):
     df = odd(spark, [(100 + i, t) for i, t in enumerate(texts(6))])
     rows = fingerprints.compare_next(df, buckets=7).collect()
@@ -327,8 +355,9 @@ def test_fingerprints(spark):
         after = given[(k + 1) % len(given)][2]
         q = len(t) // 4
         edited = t[: len(t) - q] + after[:q]
-        s = [fingerprints.sketches(pa.array([x]))[0] for x in (t, edited, after)]
-        want[(i if known else None, len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprints.written(s[0]), fingerprints.written(s[1]), fingerprints.likeness(s[0], s[1]), fingerprints.likeness(s[0], s[2]))] += 1
+        own, changed, other = map(sketch_by_hand, (t, edited, after))
+        marks = [f"{level:02x}" + "".join(f"{h:010x}" for h in kept) for level, kept in (own, changed)]
+        want[(i if known else None, len(t), hashlib.sha256(edited.encode()).hexdigest(), *marks, likeness_by_hand(own, changed), likeness_by_hand(own, other))] += 1
     assert Counter(map(tuple, rows)) == want
     assert fingerprints.compare_next(empty(spark)).count() == 0
     assert fingerprints.compare_next(spark.createDataFrame([(5, "alone")], "doc_id long, text string")).first()["near_next"] == 1.0
@@ -343,8 +372,24 @@ def test_fingerprint_estimates():
     s, big, joined = fingerprints.sketches(pa.array([small, large, both]))
     assert fingerprints.likeness(s, joined) > 0.95 and fingerprints.likeness(s, big) < 0.05
     merged = fingerprints.merged(s, big)
-    assert np.isin(merged, joined).mean() > 0.98
-    assert (fingerprints.read(fingerprints.written(s)) == s).all()
+    assert np.isin(merged.hashes, joined.hashes).mean() > 0.98
+    again = fingerprints.read(fingerprints.written(s))
+    assert again.level == s.level and (again.hashes == s.hashes).all()
+
+
+def test_fingerprints_of_short_texts_merge():
+    """A merged sketch is that of both texts' shingles, and contains each of them wholly."""
+    rng = random.Random(5)
+    for size in (20, 40, 300):
+        cases = ["".join(rng.choice("abcdefgh ") for _ in range(size)) for _ in range(100)]
+        cases[0] = "a" * size
+        own = fingerprints.sketches(pa.array(cases))
+        for a, b, x, y in zip(own, own[1:], cases, cases[1:], strict=False):
+            both = fingerprints.merged(a, b)
+            cuts = {h for t in (x, y) for h in sketch_by_hand(t)[1] if h < (1 << 40) >> both.level}
+            assert both.hashes.tolist() == sorted(cuts)
+            # a text of one shingle, over and over, may have none at the other's fraction
+            assert all(fingerprints.likeness(both, x) == 1.0 or x is own[0] and not len(x.at(both.level)) for x in (a, b))
 
 
 def test_fingerprint_column(spark):
