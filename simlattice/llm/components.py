@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import discard, staged
 
 
 def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -21,12 +21,14 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parents = staged(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("parent")), f"parents-{k}")
+        dead = [edges, parents]
         if labels is None:
-            labels = parents.select("node", F.col("parent").alias("label"))
+            new = parents.select("node", F.col("parent").alias("label"))
         else:
             step = parents.select(F.col("node").alias("label"), "parent")
-            labels = labels.join(step, "label", "left").select("node", F.coalesce("parent", "label").alias("label"))
-        labels = staged(labels, f"labels-{k}")
+            new = labels.join(step, "label", "left").select("node", F.coalesce("parent", "label").alias("label"))
+            dead.append(labels)
+        labels = staged(new, f"labels-{k}")
         left = parents.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
         right = parents.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
         drawn = edges.join(left, "a").join(right, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
@@ -35,8 +37,10 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
         up = up.join(parents.select(F.col("node").alias("a"), F.col("parent").alias("b")), "a").select("a", "b")
         edges = drawn.unionByName(up).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         edges = staged(edges, f"links-{k}")
+        discard(*dead)
     else:
         raise RuntimeError("components did not settle")
     if labels is None:
-        return links.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
+        kind = dict(links.dtypes)["a"]
+        return links.sparkSession.createDataFrame([], f"node {kind}, label {kind}")
     return labels

@@ -8,8 +8,8 @@ that both lists of such a pair meet (prefix filtering). The order puts rare valu
 are summed in a table of fixed size, which is broadcast. Frequent words, lines and passages thus head no list.
 
 A list of few classes gives its pairs. A long one gives each class's pairs with a few centers only: those members whose values stand
-in the longest lists, which is what the source of many copies looks like. A pair of full sketches that shares too few lists is no
-candidate; the rest pass an estimate from the union's sketch, and exact Jaccard on full sets confirms.
+in the longest lists, which is what the source of many copies looks like. A pair of full sketches that meets in fewer than MEETINGS lists is
+no candidate (prefixes are that much longer, so the bound below holds); the rest pass an estimate from the union's sketch, and exact Jaccard on full sets confirms.
 
 What long lists leave is finished exactly. Classes that they connect are a family. Its members that are not yet with most of the
 family are compared with all of it, block of sets by block of sets: a pair of blocks is one row, and counts all its intersections
@@ -35,8 +35,12 @@ SKETCH = 128
 #: The counts of retained values are kept in so many cells, whatever the input.
 CELLS, BLOCK = 1 << 20, 1 << 14
 SIGMAS = 5.0
-#: Longer lists give pairs with centers only; so many sets make a block.
-LONG, SETS = 32, 128
+#: Lists longer than this, or than the fourth root of the number of classes, give pairs with centers only.
+LONG = 32
+#: Sets and bytes of a block, or one set if it is larger.
+SETS, BLOCK_BYTES = 128, 2 << 20
+#: Where both sets are cut to sketches, a pair must meet in so many lists; prefixes are longer by as many, less one, so that it does.
+MEETINGS = 3
 
 
 def _spread(k: int, similarity: float) -> float:
@@ -51,6 +55,11 @@ def least_shared(n: np.ndarray, similarity: float, k: int = SKETCH) -> np.ndarra
     return np.maximum(1, np.where(n <= similarity * k, small, np.minimum(cut, np.minimum(n, k)))).astype(np.int64)
 
 
+def _is_cut(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether a set of this size and any that is as similar are both larger than a sketch."""
+    return n * similarity > SKETCH
+
+
 def _digest(h: np.ndarray, first: np.ndarray) -> list[bytes]:
     """16 bytes for each set: two independent sums over its elements, mixed."""
     a = np.add.reduceat(mix(h ^ np.uint64(0x2545F4914F6CDD1D)), first)
@@ -121,7 +130,7 @@ def _lists(counts, similarity: float):
         for batch in batches:
             h, m = _values(batch)
             n = batch.column("n").to_numpy()
-            prefix = np.maximum(0, m - least_shared(n, similarity) + 1)
+            prefix = np.maximum(0, m - least_shared(n, similarity) + np.where(_is_cut(n, similarity), MEETINGS, 1))
             row = np.repeat(np.arange(len(m)), m)
             order = np.lexsort((h, table[_cell(h)], row))
             place = np.arange(len(h)) - np.repeat(np.r_[0, np.cumsum(m)[:-1]], m)
@@ -227,16 +236,20 @@ def _family_links(long: DataFrame, heads: DataFrame, labels: DataFrame, sets: Da
     size = each.groupBy("family", "label").agg(F.count("*").alias("k"))
     most = staged(size.groupBy("family").agg(F.max(F.struct("k", "label")).alias("m")).select("family", F.col("m.label").alias("most")), "most")
     each = each.join(most, "family").withColumn("outer", F.col("label") != F.col("most"))
-    # those to compare first, then by size, so that unequal blocks need not meet
+    # blocks are of sets of about one size, so that unequal blocks need not meet and a block's bytes are bounded
     step = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent)).cast("int")
-    placed = ranked(each, ["family"], ["cls"], "place", first=F.when(F.col("outer"), 0).otherwise(100_000) + step)
-    placed = placed.withColumn("block", (F.col("place") / SETS).cast("long")).join(sets, "cls")
+    each = each.withColumn("tier", F.when(F.col("outer"), 0).otherwise(100_000) + step)
+    fit = F.least(F.lit(SETS), F.greatest(F.lit(1), F.floor(BLOCK_BYTES / 8 / F.pow(F.lit(100 / percent), step + 1)))).cast("long")
+    placed = ranked(each.withColumn("fit", fit), ["family", "tier"], ["cls"], "place")
+    placed = placed.withColumn("block", F.col("tier") * F.lit(1 << 40) + F.expr("place div fit")).join(sets, "cls")
     blocks = placed.groupBy("family", "block").agg(F.collect_list(F.struct("cls", "label", "set")).alias("rows"), F.max("outer").alias("outer"), F.min("n").alias("low"), F.max("n").alias("high"))
     blocks = staged(blocks, "blocks")
     a = blocks.filter("outer").select("family", F.col("block").alias("x"), F.col("rows").alias("mine"), F.col("low").alias("la"), F.col("high").alias("ha"))
     b = blocks.select("family", F.col("block").alias("y"), F.col("rows").alias("theirs"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("outer").alias("too"))
     met = a.join(b, "family").filter((~F.col("too") | (F.col("x") <= F.col("y"))) & (F.col("ha") * 100 >= F.col("lb") * percent) & (F.col("hb") * 100 >= F.col("la") * percent))
-    return staged(met.select("mine", "theirs").repartition("mine", "theirs").mapInArrow(_block_pairs(percent), "a binary, b binary"), "family-links")
+    links = staged(met.select("mine", "theirs").repartition("mine", "theirs").mapInArrow(_block_pairs(percent), "a binary, b binary"), "family-links")
+    discard(named, split, left, most, blocks)
+    return links
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keys: bool = False) -> DataFrame:
@@ -264,15 +277,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keys:
     listed = classes.select("cls", "n", "sketch").mapInArrow(_lists(counts, similarity), "value long, cls binary, n long")
     many = staged(listed.groupBy("value").agg(F.count("*").alias("many")).filter("many > 1"), "many")
     lists = staged(listed.join(many, "value"), "lists")
+    discard(many)
 
     def alike(a: str, b: str):
         """Sizes rule out what is too unequal."""
         return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-    short = lists.filter(F.col("many") <= LONG)
+    most = max(LONG, math.ceil(classes.count() ** 0.25))
+    short = lists.filter(F.col("many") <= most)
     one, two = short.select("value", F.col("cls").alias("a"), F.col("n").alias("na")), short.select("value", F.col("cls").alias("b"), F.col("n").alias("nb"))
     pairs = one.join(two, "value").filter((F.col("a") < F.col("b")) & alike("na", "nb")).select("a", "b", F.least("na", "nb").alias("n"))
-    long = lists.filter(F.col("many") > LONG)
+    long = lists.filter(F.col("many") > most)
     fame = long.groupBy("cls").agg(F.sum(F.log("many")).alias("fame"))
     long = staged(long.join(fame, "cls"), "long")
     center = F.struct("fame", "cls", "n")
@@ -282,17 +297,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keys:
     stars = stars.filter(F.col("c.cls").isNotNull() & (F.col("c.cls") != F.col("cls")) & alike("n", "c.n"))
     stars = stars.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b"), F.least("n", "c.n").alias("n"))
 
-    # where both sets are cut to sketches, a true pair is expected to meet in two dozen lists or more
-    shared = F.when(F.col("n") * percent > 100 * SKETCH, 3).otherwise(1)
+    shared = F.when(F.col("n") * similarity > SKETCH, MEETINGS).otherwise(1)
     pairs = pairs.unionByName(stars).groupBy("a", "b").agg(F.count("*").alias("met"), F.min("n").alias("n")).filter(F.col("met") >= shared)
     met = staged(pairs.select("a", "b"), "met")
+    discard(lists)
     both = lambda df: df.select(F.col("a").alias("cls")).union(df.select(F.col("b").alias("cls"))).distinct()
     known = staged(both(met), "meeting")
     # a bitmap first: only classes that meet any other move
     drawn = staged(maybe_among(classes.select("cls", "sketch"), "cls", bitmap(known, "cls")), "meeting-sketches")
     own, other = drawn.select(F.col("cls").alias("a"), F.col("sketch").alias("sketch_a")), drawn.select(F.col("cls").alias("b"), F.col("sketch").alias("sketch_b"))
     pairs = staged(met.join(own, "a").join(other, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate(similarity), "a binary, b binary"), "candidates")
-    discard(drawn)
+    discard(drawn, met, known)
 
     needed = both(pairs).union(long.select("cls")).distinct()
     reps = staged(classes.select("cls", "rk").join(needed, "cls"), "needed")
@@ -302,13 +317,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keys:
     own = sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a"))
     other = sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b"))
     links = staged(pairs.join(own, "a").join(other, "b").select("a", "b", "set_a", "set_b").mapInArrow(_exact(percent), "a binary, b binary"), "links")
+    discard(reps, pairs)
     labels = components(links)
     more = _family_links(long, heads, labels, sets, percent)
+    discard(sets, long, heads)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
+    discard(more, links)
 
     grouped = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     grouped = staged(grouped.select("doc_id", "rk", "n", "label"), "grouped")
+    discard(members)
     lowest = staged(grouped.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("low")), "lowest")
     out = grouped.join(lowest, "label", "left")
     component = F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id"))

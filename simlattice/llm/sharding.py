@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .shared import ranked, staged
+from .shared import buckets_of, discard, ranked, staged
 
 PRIORITIES = 256
 
@@ -46,7 +46,7 @@ def _grants(asked: dict[int, dict[int, dict[int, int]]], linked: dict[int, int],
 
 
 def propagate(nodes: DataFrame, members: DataFrame, shards: int = 16, rounds: int = 8) -> DataFrame:
-    """Moves linked nodes towards shards where their groups are; nodes(node, shard, linked), members(node, grp, weight).
+    """Moves linked nodes towards shards where their groups are; staged nodes(node, shard, linked), members(node, grp, weight).
 
     Returns nodes with the new shard. Linked nodes of a shard stay within its even share, so that nodes without links can
     make up the rest. A shard that is full is settled: nobody asks for it or leaves it, so a group of several shares' size fills
@@ -54,7 +54,8 @@ def propagate(nodes: DataFrame, members: DataFrame, shards: int = 16, rounds: in
     splits large keys.
     """
     count = {r["shard"]: (r["n"], r["k"]) for r in nodes.groupBy("shard").agg(F.count("*").alias("n"), F.count_if("linked").alias("k")).collect()}
-    share = sum(n for n, _ in count.values()) // shards
+    total = sum(n for n, _ in count.values())
+    share = total // shards
     linked = {s: k for s, (_, k) in count.items()}
     for k in range(rounds):
         full = [s for s, n in linked.items() if n >= share]
@@ -75,9 +76,11 @@ def propagate(nodes: DataFrame, members: DataFrame, shards: int = 16, rounds: in
             break
         given = nodes.sparkSession.createDataFrame(grants, "shard int, to int, below int, also long")
         moving = asking.join(F.broadcast(given), ["shard", "to"]).filter("p <= below")
-        part = ranked(moving.filter("p = below"), ["shard", "to"], ["node"], "_place").filter("_place < also")
+        part = ranked(moving.filter("p = below"), ["shard", "to"], ["node"], "_place", buckets=buckets_of(total)).filter("_place < also")
         moves = moving.filter("p < below").select("node", "to").unionByName(part.select("node", "to"))
+        dead = nodes
         nodes = staged(nodes.join(moves, "node", "left").select("node", F.coalesce("to", "shard").alias("shard"), "linked"), f"shards-{k}")
+        discard(dead, asking)
         linked = {r["shard"]: r["k"] for r in nodes.groupBy("shard").agg(F.count_if("linked").alias("k")).collect()}
     return nodes
 
@@ -125,7 +128,7 @@ def shard_rows(docs: DataFrame, links: DataFrame | None = None, shards: int = 16
     slim = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("_text"))
     slim = slim.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     # node: a number for each row, by content, so that a task that runs again gives the same one
-    slim = slim.withColumn("_part", _hash_below(4096, "_id", "_text"))
+    slim = slim.withColumn("_part", _hash_below(buckets_of(docs.count(), 4096), "_id", "_text"))
     slim = slim.withColumn("node", F.col("_part").cast("long") * F.lit(1 << 40) + F.row_number().over(Window.partitionBy("_part").orderBy("_id", "_text")))
     slim = staged(slim.drop("_part"), "rows")
     if links is None:

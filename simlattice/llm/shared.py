@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,9 +94,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a staged table that nothing will read again."""
-    delete(df.sparkSession, df.staged_path)
+def discard(*dfs: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again."""
+    for df in dfs:
+        delete(df.sparkSession, df.staged_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,23 +134,6 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """The first n powers of the hash's base, or of its inverse, modulo 2**64."""
-    kind = "inverse" if inverse else "base"
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << int(n).bit_length())
-        have = np.full(size, _INVERSE if inverse else _BASE, np.uint64)
-        have[0] = 1
-        _powers[kind] = have = np.multiply.accumulate(have)
-    return have[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64 bits."""
     h = h ^ (h >> np.uint64(30))
@@ -180,21 +165,35 @@ def spans(data: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> tuple[np.
     return begin, np.flatnonzero(ends) + 1, np.searchsorted(starts, begin, side="right") - 1
 
 
+#: Longer byte ranges are hashed one by one.
+_EACH = 64
+
+
 def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges; equal bytes give equal hashes wherever they stand."""
+    """64-bit hashes of the byte ranges; equal bytes give equal hashes wherever they stand.
+
+    Ranges are taken in eight bytes at a time, all side by side. Each step is one-to-one in the bytes and in the hash so far, and the length
+    is hashed first, so ranges of up to eight bytes collide with none of their length; long ranges go through XXH3."""
     if not len(begin):
         return np.zeros(0, np.uint64)
-    out = np.empty(len(begin), np.uint64)
-    block, at = 1 << 20, 0
-    while at < len(begin):  # the powers stay in a bounded table however long a row is
-        to = max(at + 1, int(np.searchsorted(end, begin[at] + block, side="right")))
-        lo, hi = int(begin[at]), int(end[to - 1])
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * powers(hi - lo), out=total[1:])
-        b, e = begin[at:to] - lo, end[at:to] - lo
-        out[at:to] = (total[e] - total[b]) * powers(hi - lo + 1, True)[b]
-        at = to
-    return mix(out)
+    size = end - begin
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+    def step(h: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        part = eight[at] << (64 - 8 * np.minimum(left, 8)).astype(np.uint64)  # bytes beyond the range go
+        return mix((h ^ part) * np.uint64(0x9FB21C651E98DF25))
+
+    out = step(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), begin, size)
+    own = np.flatnonzero(size <= _EACH)
+    for k in range(8, _EACH, 8):
+        own = own[size[own] > k]
+        if not len(own):
+            break
+        out[own] = step(out[own], begin[own] + k, size[own] - k)
+    for i in np.flatnonzero(size > _EACH):
+        out[i] = xxhash.xxh3_64_intdigest(data[begin[i] : end[i]].tobytes())
+    return out
 
 
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -229,12 +228,23 @@ def shingles(word: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray,
     return acc[keep], row[keep]
 
 
-def ranked(df: DataFrame, by: list[str], order: list[str], name: str, first: Column | None = None, buckets: int = 64) -> DataFrame:
+#: Rows that one bucket of a rank is meant to hold.
+BUCKET_ROWS = 100_000
+
+
+def buckets_of(rows: int, least: int = 64) -> int:
+    """How many buckets so many rows are ranked in."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str], name: str, first: Column | None = None, buckets: int | None = None) -> DataFrame:
     """Adds a gapless rank from 0 within each group of by, without bringing a group together: rows are ranked in buckets
-    of order's hash, and each bucket starts where the ones before it end. Lower first comes first; within that the order
-    is fixed by order alone. Rows that are equal in order are interchangeable. by and order must not be null."""
+    of order's hash, as many as the rows of df need (df is counted), and each bucket starts where the ones before it end. Lower first comes
+    first; within that the order is fixed by order alone. Rows that are equal in order are interchangeable. by and order must not be null."""
     from pyspark.sql import Window
 
+    buckets = buckets or buckets_of(df.count())
+
     tier = F.lit(0) if first is None else first
     df = df.withColumn("_tier", tier.cast("int")).withColumn("_bucket", F.pmod(F.xxhash64(F.lit("bucket"), *order), F.lit(buckets)).cast("int"))
     keys = [*by, "_tier", "_bucket"]

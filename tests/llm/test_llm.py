@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from simlattice.llm import decontaminate, fingerprints, language, line_dedup, near_dedup, packing, quality, secrets, sharding, warc
 from simlattice.llm import queries as Q
 from simlattice.llm.components import components
-from simlattice.llm.shared import ranked, shingles, words
+from simlattice.llm.shared import hashes, ranked, shingles, words
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -289,6 +289,44 @@ def test_near_dedup_long_lists(spark):
     assert Counter(map(tuple, got)) == groups_by_hand(rows, 2, 80)
 
 
+def test_near_dedup_confirms_on_bytes(spark):
+    """Words that collide under every polynomial hash modulo a power of two are different words."""
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, a), (2, b), (3, "x " + a[:60]), (4, "x " + b[:60])], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, 2, 80).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_hashes_of_bytes():
+    """Equal ranges have equal hashes wherever they stand, different ones different ones, whatever their length."""
+    rng = random.Random(3)
+    own = [bytes(rng.choice((0, 1, 97)) for _ in range(rng.randint(1, 140))) for _ in range(3000)] + [bytes(k) for k in range(1, 140)]
+    begin = np.cumsum([0, *map(len, own)])
+    got = hashes(np.frombuffer(b"".join(own), np.uint8), begin[:-1], begin[1:])
+    by = dict(zip(own, got.tolist(), strict=True))
+    assert [by[x] for x in own] == got.tolist() and len(set(by.values())) == len(by)
+
+
+def test_near_dedup_blocks_of_unequal_sets(spark, monkeypatch):
+    """Blocks of any bytes give the same links."""
+    rng = random.Random(12)
+    rows = []
+    for g, size in enumerate((40, 300, 900)):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        for i in range(60):
+            own = list(base)
+            for _ in range(rng.choice((0, size // 30, size // 20, size // 12))):
+                own[rng.randrange(size)] = f"e{rng.randrange(10**6)}"
+            rows.append((1000 * g + i, " ".join([*own, "one shared passage of words"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = groups_by_hand(rows, 2, 80)
+    for most in (near_dedup.BLOCK_BYTES, 8000):
+        monkeypatch.setattr(near_dedup, "BLOCK_BYTES", most)
+        assert Counter(map(tuple, near_dedup.near_duplicates(df, 2, 80).collect())) == want
+
+
 def test_shingles_by_hand():
     texts_ = ["A b  c\td", "one", "", None, " x ", "A b c a b c"]
     h, row = shingles(*words(pa.array(texts_)), 2)
