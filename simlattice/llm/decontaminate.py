@@ -5,15 +5,17 @@ words is within TOLERANCE of the item's words by edit distance.
 
 The random-walk embedding (Chakraborty, Goldenberg, Koucky) copies a string while a pointer moves on or stays by a random bit of
 the word under it and the step; strings a few edits apart stay in step again and again, so few places of their copies differ. Each
-item gives windows of its words. Windows of the same size over a document are embedded in the same way, sampled at a few places, and
-looked up; samples repeat until items of each length, edited at the tolerance, are found at the target recall. Items of a length
-that never gets there are cut into one part more than edits are allowed, of which one always stands whole. A window can only be
+item gives windows of about its own size (four fifths or more of its words, up to LONG). Windows of the same size over a document
+are embedded in the same way, sampled at a few places, and looked up; samples repeat until items of each length, edited at the
+tolerance, are found at the target recall. Items of a length that never gets there are cut into one part more than edits are
+allowed, of which one always stands whole. A window can only be
 that near an item's if most of its words are words of items at all, so others are not embedded. What is found is verified by
 exact edit distance. Documents are never shuffled: items go to them, in blocks of a bounded number.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,15 +27,30 @@ from .shared import LOWER, SPACE, flat, hashes, mix, slices, spans
 
 TOLERANCE = 0.2
 RECALL = 0.99
-#: Window sizes in words; an item uses the largest that it can fill.
-SIZES = (16, 8, 4, 2, 1)
-PLACES = 5
-EMBEDDINGS = 2
-MOST_REPEATS = 60
-#: Edited items drawn for each class of lengths; of longer items, the first LONG words.
-TRIALS = 800
+#: Window sizes in words grow by a quarter or less; an item uses the largest that it can fill. The largest are of about LONG words: longer
+#: items give several windows.
 LONG = 64
+SIZES = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 18, 22, 27, 33, 41, 51, 63)
+EMBEDDINGS = 5
+
+
+def _steps(size: int) -> int:
+    """Steps of a walk over a window: in so many it passes three quarters of the words, about."""
+    return max(2, 3 * size // 2)
+
+
+MOST_REPEATS = 80
+#: Edited items drawn for each length; of items over LONG words, the first LONG.
+TRIALS = 800
 BLOCK = 20_000
+#: Equal keys that are looked at together.
+TOGETHER = 200_000
+
+
+def _places(size: int, windows: int) -> int:
+    """How many places of a window's copy a sample reads: fewer of long copies, which edits part more often, more among many windows."""
+    return min(size, (4 if size <= 12 else 3 if size <= 33 else 2) + max(0, int(np.log10(max(1, windows / 1000)))))
+
 
 _INNER = np.zeros(256, bool)
 _INNER[48:58] = _INNER[65:91] = _INNER[97:123] = _INNER[128:] = True
@@ -67,11 +84,36 @@ def embed(words: np.ndarray, begin: np.ndarray, end: np.ndarray, steps: int, see
     return out
 
 
+_FACTORS = mix(np.arange(1, 4 * LONG, dtype=np.uint64)) | np.uint64(1)
+
+
 def _sampled(copy: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A key of the words at these places."""
     key = np.zeros(len(copy), np.uint64)
-    for p in places:
-        key = mix(key * np.uint64(0x100000001B3) + copy[:, p])
-    return key
+    for k, p in enumerate(places):
+        key += copy[:, p] * _FACTORS[k % len(_FACTORS)] + (key >> np.uint64(29))
+    return mix(key)
+
+
+def _leading(sorted_: np.ndarray) -> np.ndarray:
+    """Which leading 16 bits of a hash some of these has."""
+    out = np.zeros(1 << 16, bool)
+    out[(sorted_ >> np.uint64(48)).astype(np.int64)] = True
+    return out
+
+
+def _met(mine: np.ndarray, keys: np.ndarray, leading: np.ndarray):
+    """Pairs (place in mine, place in keys) of equal keys, in slices of about TOGETHER pairs; keys are sorted."""
+    own = np.flatnonzero(leading[(mine >> np.uint64(48)).astype(np.int64)])
+    lo, hi = np.searchsorted(keys, mine[own], "left"), np.searchsorted(keys, mine[own], "right")
+    own, lo, many = own[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(own):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, side="right")))
+        some = many[at:to]
+        yield np.repeat(own[at:to], some), np.repeat(lo[at:to] - np.cumsum(some) + some, some) + np.arange(some.sum())
+        at = to
 
 
 @dataclass
@@ -83,12 +125,12 @@ class Probes:
     tolerance: float
     #: words of items, each mixed with its item's number
     owned: np.ndarray
-    #: size -> sorted words of its items, and which leading 20 bits of a hash some of them has
-    vocabulary: dict[int, tuple[np.ndarray, np.ndarray]]
-    #: size -> list of (embedding seed, places, sorted keys, item numbers, offsets)
-    tables: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
-    #: length -> sorted keys of parts, item numbers, offsets; of items that samples do not find at the target
-    parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    #: size -> sorted words of its items, which leading 20 bits of a hash some of them has, the rarer words, and how many of them a window needs
+    vocabulary: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, int]]
+    #: size -> list of (embedding seed, places, sorted keys, their leading bits, item numbers, offsets)
+    tables: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+    #: length -> sorted keys of parts, their leading bits, item numbers, offsets, sorted words; of items that samples do not find at the target
+    parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _owned(words: np.ndarray, item: np.ndarray | int) -> np.ndarray:
@@ -100,6 +142,18 @@ def _least_known(size: int, tolerance: float) -> int:
     return max(1, size - int(np.ceil(tolerance * size)))
 
 
+def _rarer(words: np.ndarray, begin: np.ndarray, size: int, tolerance: float, common: dict[int, int]) -> tuple[np.ndarray, int]:
+    """The rarer half of what every item window must keep of its distinct words, with as many more as edits may take: a document's
+    window that is that near an item's has so many of them, at least."""
+    lost, rare, least = int(np.ceil(tolerance * size)), set(), size
+    for at in begin.tolist():
+        own = sorted(set(words[at : at + size].tolist()), key=lambda x: (common[x], x))
+        kept = max(0, -(-(len(own) - lost) // 2))
+        rare.update(own[: lost + kept])
+        least = min(least, kept)
+    return np.array(sorted(rare), np.uint64), least
+
+
 def _edited(words: np.ndarray, edits: int, rng: np.random.Generator, only: int | None = None) -> np.ndarray:
     """words with random edits: 0 takes a word out, 1 puts one in, 2 changes one; of all kinds if none is given."""
     out = words.tolist()
@@ -116,15 +170,14 @@ def _edited(words: np.ndarray, edits: int, rng: np.random.Generator, only: int |
 
 
 def _classes(items: list[np.ndarray], own: list[int]) -> list[list[int]]:
-    """The items by length, from 2 * SIZES[0] words on by eights of words, from LONG on together."""
+    """The items by length, from LONG words on together."""
     out: dict[int, list[int]] = {}
     for i in own:
-        n = len(items[i])
-        out.setdefault(n if n < 2 * SIZES[0] else min(n // 8 * 8, LONG), []).append(i)
+        out.setdefault(min(len(items[i]), LONG), []).append(i)
     return [out[n] for n in sorted(out)]
 
 
-def _repeats(items: list[np.ndarray], group: list[int], size: int, tolerance: float, recall: float, known: np.ndarray, chosen: list[np.ndarray], keys: list[np.ndarray], which: np.ndarray, seed: int, rng: np.random.Generator) -> int | None:
+def _repeats(items: list[np.ndarray], group: list[int], size: int, tolerance: float, recall: float, known: np.ndarray, rare: np.ndarray, needed: int, chosen: list[np.ndarray], keys: list[np.ndarray], which: np.ndarray, seed: int, rng: np.random.Generator) -> int | None:
     """How many samples find the target share of the group's shortest items, with as many edits as the tolerance allows, of each kind
     and of all kinds; None if none do."""
     least = min(len(items[i]) for i in group)
@@ -132,15 +185,18 @@ def _repeats(items: list[np.ndarray], group: list[int], size: int, tolerance: fl
     parts, trial, owner = [], [], []
     for k in range(TRIALS):
         i = shortest[int(rng.integers(len(shortest)))]
-        parts.append(_edited(items[i][:LONG], int(tolerance * min(least, LONG)), rng, k % 4 if k % 4 < 3 else None))
+        around = rng.integers(1 << 62, size=(2, size)).astype(np.uint64) << np.uint64(1)  # words of no item: theirs are odd
+        parts.append(np.concatenate([around[0], _edited(items[i][:LONG], int(tolerance * min(least, LONG)), rng, k % 4 if k % 4 < 3 else None), around[1]]))
         trial.append(np.full(len(parts[-1]), k))
         owner.append(i)
     words, trial, owner = np.concatenate(parts), np.concatenate(trial), np.array(owner)
     ends = np.searchsorted(trial, trial, side="right")
     starts = np.arange(len(words))
     total = np.r_[0, np.cumsum(_member(words, known))]
-    starts = starts[total[np.minimum(starts + size, ends)] - total[starts] >= _least_known(size, tolerance)]
-    copies = [embed(words, starts, np.minimum(starts + size, ends[starts]), 2 * size, seed + e) for e in range(EMBEDDINGS)]
+    rarer = np.r_[0, np.cumsum(_member(words, rare))]
+    past = np.minimum(starts + size, ends)
+    starts = starts[(total[past] - total[starts] >= _least_known(size, tolerance)) & (rarer[past] - rarer[starts] >= needed)]
+    copies = [embed(words, starts, np.minimum(starts + size, ends[starts]), _steps(size), seed + e) for e in range(EMBEDDINGS)]
     trial = trial[starts]
     hit = np.zeros(TRIALS, bool)
     own = np.flatnonzero(np.isin(which, shortest))
@@ -149,14 +205,14 @@ def _repeats(items: list[np.ndarray], group: list[int], size: int, tolerance: fl
         open_ = np.flatnonzero(~hit[trial])
         shown = _owned(_sampled(copies[r % EMBEDDINGS][open_], places), owner[trial[open_]])
         hit[trial[open_[_member(shown, there)]]] = True
-        # each kind of edit for itself
-        if r + 1 >= EMBEDDINGS and min(hit[k::4].mean() for k in range(4)) >= recall:
+        # each kind of edit for itself; half of what may be missed, since trials are few
+        if r + 1 >= EMBEDDINGS and min(hit[k::4].mean() for k in range(4)) >= (1 + recall) / 2:
             return r + 1
     return None
 
 
-def _parts(items: list[np.ndarray], own: list[int], tolerance: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Length -> sorted keys of parts of so many words, their item numbers and offsets.
+def _parts(items: list[np.ndarray], own: list[int], tolerance: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Length -> sorted keys of parts of so many words, their leading bits, item numbers and offsets, and the sorted words of all.
 
     Each item is cut into one part more than it may have edits, so one of them stands whole wherever the item stands."""
     found: dict[int, list[tuple[int, int]]] = {}
@@ -167,9 +223,10 @@ def _parts(items: list[np.ndarray], own: list[int], tolerance: float) -> dict[in
             found.setdefault(hi - lo, []).append((i, lo))
     out = {}
     for length, places in found.items():
-        keys = _run_keys(np.concatenate([items[i][lo : lo + length] for i, lo in places]).reshape(-1, length))
+        runs = np.concatenate([items[i][lo : lo + length] for i, lo in places]).reshape(-1, length)
+        keys = _run_keys(runs)
         order = np.argsort(keys, kind="stable")
-        out[length] = keys[order], np.array([i for i, _ in places])[order], np.array([lo for _, lo in places])[order]
+        out[length] = keys[order], _leading(keys), np.array([i for i, _ in places])[order], np.array([lo for _, lo in places])[order], np.unique(runs)
     return out
 
 
@@ -183,17 +240,16 @@ def prepare(ids: list, items: list[np.ndarray], tolerance: float = TOLERANCE, re
     Where MOST_REPEATS are not enough, the items of that length are also looked up exactly, by their parts."""
     vocabulary = {}
     owned = np.unique(np.concatenate([np.zeros(0, np.uint64), *[_owned(words, i) for i, words in enumerate(items)]]))
+    common = Counter(x for words in items for x in set(words.tolist()))
     by_size: dict[int, list[int]] = {}
     for i, words in enumerate(items):
-        by_size.setdefault(next(s for s in SIZES if s <= len(words)), []).append(i)
+        by_size.setdefault(max(s for s in SIZES if s <= len(words)), []).append(i)
     tables, exact = {}, []
     for size, own in by_size.items():
         rng = np.random.default_rng(seed + size)
         known = np.unique(np.concatenate([items[i] for i in own]))
         leading = np.zeros(1 << 20, bool)
         leading[(known >> np.uint64(44)).astype(np.int64)] = True
-        vocabulary[size] = known, leading
-        steps = 2 * size
         begin, which, offset, joined, at = [], [], [], [], 0
         for i in own:
             n = len(items[i])
@@ -204,13 +260,15 @@ def prepare(ids: list, items: list[np.ndarray], tolerance: float = TOLERANCE, re
             joined.append(items[i])
             at += n
         words, begin, which, offset = np.concatenate(joined), np.array(begin), np.array(which), np.array(offset)
-        copies = [embed(words, begin, begin + size, steps, seed + e) for e in range(EMBEDDINGS)]
-        chosen = [np.sort(rng.choice(2 * size, min(PLACES, size), replace=False)) for _ in range(MOST_REPEATS)]
+        rare, needed = _rarer(words, begin, size, tolerance, common)
+        vocabulary[size] = known, leading, rare, needed
+        copies = [embed(words, begin, begin + size, _steps(size), seed + e) for e in range(EMBEDDINGS)]
+        chosen = [np.sort(rng.choice(_steps(size), _places(size, len(begin)), replace=False)) for _ in range(MOST_REPEATS)]
         keys = [_sampled(copies[r % EMBEDDINGS], places) for r, places in enumerate(chosen)]
         # every class of lengths repeats until its own shortest items are found
         repeats, short = np.zeros(len(items), np.int64), []
         for group in _classes(items, own):
-            enough = _repeats(items, group, size, tolerance, recall, known, chosen, keys, which, seed, rng)
+            enough = _repeats(items, group, size, tolerance, recall, known, rare, needed, chosen, keys, which, seed, rng)
             repeats[group] = enough or 0
             if enough is None:
                 short += group
@@ -221,7 +279,7 @@ def prepare(ids: list, items: list[np.ndarray], tolerance: float = TOLERANCE, re
         for r in range(int(repeats[own].max())):
             mine = np.flatnonzero(repeats[which] > r)
             mine = mine[np.argsort(keys[r][mine], kind="stable")]
-            made.append((seed + r % EMBEDDINGS, chosen[r], keys[r][mine], which[mine], offset[mine]))
+            made.append((seed + r % EMBEDDINGS, chosen[r], keys[r][mine], _leading(keys[r][mine]), which[mine], offset[mine]))
         tables[size] = made
     return Probes(list(ids), items, tolerance, owned, vocabulary, tables, _parts(items, exact, tolerance))
 
@@ -254,58 +312,55 @@ def matches(words: np.ndarray, row: np.ndarray, probes: Probes, chunk: int = 50_
     end_of = first[row + 1]
     found: set[tuple[int, int, int]] = set()
     for size, tables in probes.tables.items():
-        vocabulary, leading = probes.vocabulary[size]
+        vocabulary, leading, rare, needed = probes.vocabulary[size]
         known = leading[lead]
         maybe = np.flatnonzero(known)
         known[maybe] = _member(words[maybe], vocabulary)
         total = np.r_[0, np.cumsum(known)]
+        maybe = np.flatnonzero(known)
+        rarer = np.zeros(len(words) + 1, np.int64)
+        rarer[maybe + 1] = _member(words[maybe], rare)
+        rarer = np.cumsum(rarer)
         begin = np.arange(len(words))
         end = np.minimum(begin + size, end_of)
         # an item at the tolerance has a window with no more than its share of edits, and so with that many words of the item
         need = _least_known(size, probes.tolerance)
-        begin = np.flatnonzero(total[end] - total[begin] >= need)
+        begin = np.flatnonzero((total[end] - total[begin] >= need) & (rarer[end] - rarer[begin] >= needed))
         for k in range(0, len(begin), chunk):
             own = begin[k : k + chunk]
             copies: dict[int, np.ndarray] = {}
-            for seed, places, keys, which, offset in tables:
+            for seed, places, keys, leads, which, offset in tables:
                 if seed not in copies:
-                    copies[seed] = embed(words, own, end[own], 2 * size, seed)
-                mine = _sampled(copies[seed], places)
-                lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-                many = hi - lo
-                which_hit = np.repeat(np.arange(len(own)), many)
-                entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-                # enough of the window's words must be words of this item
-                at = own[which_hit][:, None] + np.arange(size)[None, :]
-                inside = at < end_of[own[which_hit]][:, None]
-                mixed = _owned(words[np.minimum(at, len(words) - 1)], which[entry][:, None])
-                shared = (_member(mixed.ravel(), probes.owned).reshape(mixed.shape) & inside).sum(axis=1)
-                for r, i, start in zip(*(x[shared >= need].tolist() for x in (row[own[which_hit]], which[entry], own[which_hit] - offset[entry])), strict=True):
-                    found.add((r, i, start))
+                    copies[seed] = embed(words, own, end[own], _steps(size), seed)
+                for hit, entry in _met(_sampled(copies[seed], places), keys, leads):
+                    # enough of the window's words must be words of this item
+                    start = own[hit]
+                    at = start[:, None] + np.arange(size)[None, :]
+                    inside = at < end_of[start][:, None]
+                    mixed = _owned(words[np.minimum(at, len(words) - 1)], which[entry][:, None])
+                    near = (_member(mixed.ravel(), probes.owned).reshape(mixed.shape) & inside).sum(axis=1) >= need
+                    found.update(zip(*(x[near].tolist() for x in (row[start], which[entry], start - offset[entry])), strict=True))
     lengths = np.array([len(x) for x in probes.items])
     edits = (probes.tolerance * lengths).astype(int)
-    for length, (keys, which, offset) in probes.parts.items():
+    for length, (keys, leads, which, offset, vocabulary) in probes.parts.items():
+        total = np.r_[0, np.cumsum(_member(words, vocabulary))]
         begin = np.flatnonzero(np.arange(len(words)) + length <= end_of)
+        begin = begin[total[begin + length] - total[begin] == length]
         for k in range(0, len(begin), chunk):
-            own = begin[k : k + chunk]
-            mine = _run_keys(words[own[:, None] + np.arange(length)])
-            own, mine = own[there := _member(mine, keys)], mine[there]
-            lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-            many = hi - lo
-            own = np.repeat(own, many)
-            entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-            item = which[entry]
-            start = own - offset[entry]
-            from_, to = np.maximum(start - edits[item], first[row[own]]), np.minimum(start + lengths[item] + edits[item], end_of[own])
-            width = int((to - from_).max(initial=1))
-            for c in range(0, len(own), step := max(1, 500_000 // width)):
-                some = slice(c, c + step)
-                # enough of the words around must be words of this item
-                at = from_[some][:, None] + np.arange(width)[None, :]
-                mixed = _owned(words[np.minimum(at, len(words) - 1)], item[some][:, None])
-                shared = (_member(mixed.ravel(), probes.owned).reshape(mixed.shape) & (at < to[some][:, None])).sum(axis=1)
-                near = shared >= (lengths - edits)[item[some]]
-                found.update(zip(*(x[some][near].tolist() for x in (row[own], item, start)), strict=True))
+            some = begin[k : k + chunk]
+            for hit, entry in _met(_run_keys(words[some[:, None] + np.arange(length)]), keys, leads):
+                own, item = some[hit], which[entry]
+                start = own - offset[entry]
+                from_, to = np.maximum(start - edits[item], first[row[own]]), np.minimum(start + lengths[item] + edits[item], end_of[own])
+                width = int((to - from_).max(initial=1))
+                for c in range(0, len(own), step := max(1, 500_000 // width)):
+                    here = slice(c, c + step)
+                    # enough of the words around must be words of this item
+                    at = from_[here][:, None] + np.arange(width)[None, :]
+                    mixed = _owned(words[np.minimum(at, len(words) - 1)], item[here][:, None])
+                    shared = (_member(mixed.ravel(), probes.owned).reshape(mixed.shape) & (at < to[here][:, None])).sum(axis=1)
+                    near = shared >= (lengths - edits)[item[here]]
+                    found.update(zip(*(x[here][near].tolist() for x in (row[own], item, start)), strict=True))
     out, done, last = [], set(), None
     for r, i, start in sorted(found):
         item = probes.items[i]
@@ -315,7 +370,8 @@ def matches(words: np.ndarray, row: np.ndarray, probes: Probes, chunk: int = 50_
         last = (r, i, start)
         lo, hi = max(first[r], start - 2 * allowed - 1), min(first[r + 1], start + len(item) + 2 * allowed + 1)
         region = words[lo:hi]
-        if _member(region, np.unique(item)).sum() < len(item) - allowed:
+        distinct = np.unique(item)
+        if _member(region, distinct).sum() < len(item) - allowed or np.isin(distinct, region).sum() < len(distinct) - allowed:
             continue
         d, at = distance(item, region)
         if d <= allowed:

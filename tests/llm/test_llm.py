@@ -779,13 +779,14 @@ def test_pipeline(spark, tiny):
     assert {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in C.run(spark, tiny).collect()} == {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in rows}
 
 
-@pytest.mark.parametrize("short", (16, 17, 20))
+@pytest.mark.parametrize("short", (5, 10, 16, 17, 20, 40, 60))
 def test_decontamination_recall_of_short_items(short):
     """Among many long items, short ones with exactly as many edits as allowed, of each kind and of all, are found too."""
     rng = np.random.default_rng(short)
     pool = (rng.integers(1, 1 << 62, 600) * 2 + 1).astype(np.uint64)
-    items = [rng.choice(pool, short if i < 10 else int(rng.integers(40, 60))) for i in range(150)]
-    probes = decontaminate.prepare(list(range(150)), items)
+    items = [rng.choice(pool, short if i < 10 else int(rng.integers(40, 60))) for i in range(100)]
+    number = len(items)
+    probes = decontaminate.prepare(list(range(number)), items)
     for only in (0, 1, 2, None):
         texts = []
         for k in range(300):
@@ -801,6 +802,20 @@ def test_decontamination_recall_of_short_items(short):
         assert sum((k, k % 10) in got for k in range(300)) >= 0.98 * 300, (short, only)
 
 
+def test_decontamination_of_a_shared_phrase():
+    """A phrase that all items share meets them all, in slices of a bounded number of pairs."""
+    rng = np.random.default_rng(8)
+    phrase = (rng.integers(1, 1 << 62, 12) * 2 + 1).astype(np.uint64)
+    items = [np.concatenate([phrase, (rng.integers(1, 1 << 62, 3) * 2 + 1).astype(np.uint64)]) for _ in range(300)]
+    probes = decontaminate.prepare(list(range(300)), items)
+    text = np.concatenate([phrase, items[7][12:], phrase])
+    got = decontaminate.matches(text, np.zeros(len(text), np.int64), probes)
+    # of the others' fifteen words, three are not there
+    assert {i: d for _, i, _, d in got}[7] == 0 and len(got) >= 0.97 * 300 and all(d <= 3 for _, _, _, d in got)
+    pairs = list(decontaminate._met(np.full(50, 9, np.uint64), np.full(40_000, 9, np.uint64), decontaminate._leading(np.array([9], np.uint64))))
+    assert sum(len(a) for a, _ in pairs) == 50 * 40_000 and max(len(a) for a, _ in pairs) <= decontaminate.TOGETHER
+
+
 def test_decontamination_exact_parts():
     """What no sample finds is looked up by parts that stand whole."""
     rng = np.random.default_rng(5)
