@@ -39,7 +39,7 @@ def _steps(size: int) -> int:
     return max(2, 3 * size // 2)
 
 
-MOST_REPEATS = 80
+MOST_REPEATS = 100
 #: Edited items drawn for each length; of items over LONG words, the first LONG.
 TRIALS = 800
 BLOCK = 20_000
@@ -205,9 +205,9 @@ def _repeats(items: list[np.ndarray], group: list[int], size: int, tolerance: fl
         open_ = np.flatnonzero(~hit[trial])
         shown = _owned(_sampled(copies[r % EMBEDDINGS][open_], places), owner[trial[open_]])
         hit[trial[open_[_member(shown, there)]]] = True
-        # each kind of edit for itself; half of what may be missed, since trials are few
+        # each kind of edit for itself; with half of what may be missed, and a third more samples, since trials are few
         if r + 1 >= EMBEDDINGS and min(hit[k::4].mean() for k in range(4)) >= (1 + recall) / 2:
-            return r + 1
+            return min(len(chosen), r + 1 + (r + 1) // 3)
     return None
 
 
