@@ -5,7 +5,7 @@ weights give each language's potential. Learned transitions tie neighbouring wor
 language in its context, so code-switched texts get a label word by word. A text's language is the one with most expected words.
 
 Training texts have one language each; sequences that switch are made by joining stretches of texts of different languages, so that
-transitions are learned as well. Fitting takes a bounded sample of texts for each language.
+transitions are learned as well. Fitting takes a bounded sample of each language's stretches, from whole texts of any length.
 
 Forward-backward runs over all texts of a batch at once: texts are cut into segments, the product of transfer matrices of
 each segment is found for all segments side by side, and texts are stitched by these products. It is exact for any length.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .shared import LOWER, SPACE, flat, hashes, mix, slices, spans
 
-#: Texts of a language that are fitted, about, and characters of each; languages that a sample has.
+#: Labelled rows are stretches of texts, of so many characters; about so many of each language are fitted.
 SAMPLE, STRETCH = 400, 3000
 TABLE = 1 << 16
 SEGMENT = 128
@@ -277,18 +277,19 @@ def fold(of: int, id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, keep: Column, sample: int = SAMPLE, stretch: int = STRETCH) -> Model:
-    """Fits to about `sample` texts of each language of docs(doc_id, text, lang) for which keep holds, `stretch` characters of each
-    from a place that a hash gives. Rows with null text or lang are left out; every language counts."""
+    """Fits to about `sample` labelled rows of each language. A row is a stretch of `stretch` characters: every text of
+    docs(doc_id, text, lang) for which keep holds gives as many as it fills, and a hash chooses among all of them, wherever they stand. Rows with
+    null text or lang are left out; every language counts."""
     rows = docs.select("doc_id", "text", "lang").filter(keep & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}
+    many = F.greatest(F.ceil(F.length("text") / stretch), F.lit(1))
+    count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(many).alias("n")).orderBy(F.desc("n"), "lang").collect()}
     if not count:
         return fit([], [])
     share = F.create_map(*[F.lit(x) for lang, n in count.items() for x in (lang, int(min(1.0, sample / n) * (1 << 30)))])
-    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text"))
-    chosen = rows.filter(F.pmod(h, F.lit(1 << 30)) < F.element_at(share, F.col("lang")))
-    room = F.greatest(F.length("text") - stretch, F.lit(0)) + 1
-    part = F.substring("text", 1, 1 << 30).substr((F.pmod(h, room) + 1).cast("int"), F.lit(stretch))
-    got = sorted((r["lang"], r["part"]) for r in chosen.select("lang", part.alias("part")).collect())
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    chosen = F.filter(F.sequence(F.lit(0), many.cast("int") - 1), lambda k: F.pmod(F.xxhash64(name, k), F.lit(1 << 30)) < F.element_at(share, F.col("lang")))
+    parts = rows.select("lang", F.explode(F.transform(chosen, lambda k: F.substring(F.col("text"), k * stretch + 1, F.lit(stretch)))).alias("part"))
+    got = sorted((r["lang"], r["part"]) for r in parts.collect())
     return fit([t for _, t in got], [lang for lang, _ in got])
 
 
