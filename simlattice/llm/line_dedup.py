@@ -3,9 +3,10 @@
 1. A pass over the texts hashes the distinct line keys of each document. Only 8 bytes per key and task move, to slices of
    the filters by the hash's leading bits. A slice puts its hashes into a filter of keys seen once; what is there already goes
    to a filter of keys seen twice. A hot line is one hash per task, so slices stay even.
-2. The twice-seen filter has at most max_bits bits, whatever the input, and is broadcast. A second pass probes it: only lines
-   that it suspects are shuffled (as 16-byte digests of their keys) and counted. False positives of the filter cost
-   shuffle, never a wrong result, so a full filter is slow but right.
+2. A second pass probes the twice-seen filter: only lines that it suspects are counted (as 16-byte digests of their keys). A filter
+   of up to max_bits bits is broadcast, and nothing else moves. A larger one stays cut by slices, as many as keep a slice small, and
+   line hashes go to their slices, salted by document, so that a hot line's rows spread. False positives cost shuffle, never a
+   wrong result.
 3. Confirmed keys join the suspected lines; what a document loses joins the documents.
 """
 
@@ -24,6 +25,8 @@ from .shared import row_key, slices, staged
 STRIP = b" \t\n\x0b\x0c\r"
 SLICES = 512
 PROBES = 4
+#: Bits of a slice of a filter that is not broadcast, and copies of a slice, among which documents are dealt.
+SLICE_BITS, SALTS = 1 << 22, 16
 
 
 def line_keys(text: str | None) -> list[bytes]:
@@ -37,8 +40,9 @@ def _bits(h: np.ndarray, bits: int) -> np.ndarray:
     return ((h[:, None] + step[:, None] * np.arange(1, PROBES + 1, dtype=np.uint64)) >> np.uint64(7)) % np.uint64(bits)
 
 
-def _slice(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(55)).astype(np.int32)
+def _slice(h: np.ndarray, slices: int = SLICES) -> np.ndarray:
+    """Which of so many slices, a power of two, by the leading bits."""
+    return (h >> np.uint64(65 - slices.bit_length())).astype(np.int32)
 
 
 def _once_twice(min_chars: int, flush: int = 100_000):
@@ -95,6 +99,78 @@ def _fill(bits: int):
     return run
 
 
+def _recut(slices: int):
+    """Cuts packed hashes, which are sorted, into finer slices."""
+
+    def run(batches):
+        for batch in batches:
+            for many, packed in zip(*(batch.column(c).to_pylist() for c in ("many", "hashes")), strict=True):
+                h = np.frombuffer(packed, np.uint64)
+                which = _slice(h, slices)
+                first = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
+                parts = [x.tobytes() for x in np.split(h, first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(which[first]), pa.array(np.full(len(first), many)), pa.array(parts, pa.binary())], names=["slice", "many", "hashes"])
+
+    return run
+
+
+def _dealt(slices: int, min_chars: int):
+    """Every distinct line key of a document, with its hash's slice: one row each."""
+
+    def run(batches):
+        for batch in batches:
+            rows: dict[str, list] = {c: [] for c in ("slice", "hash", "rk", "key", "lines")}
+            for rk, text in zip(batch.column("rk").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for k, lines in _places_of(text, min_chars).items():
+                    h = xxhash.xxh3_64_intdigest(k)
+                    for c, x in zip(rows, (h >> (65 - slices.bit_length()), h.to_bytes(8, "little"), rk, hashlib.md5(k).digest(), lines), strict=True):
+                        rows[c].append(x)
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows.values(), kinds, strict=True)], names=list(rows))
+
+    return run
+
+
+def _probe(bits: int):
+    """Rows come by slice and salt, the slice's filter first: those that it suspects."""
+
+    def run(batches):
+        at, seen = None, None
+        for batch in batches:
+            keep = []
+            for i, (s, salt, twice, h) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("slice", "salt", "twice", "hash")), strict=True)):
+                if twice is not None:
+                    at, seen = (s, salt), np.frombuffer(twice, np.uint8)
+                elif at == (s, salt):
+                    places = _bits(np.frombuffer(h, np.uint64), bits)[0]
+                    if ((seen[(places >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (places & np.uint64(7)).astype(np.uint8))) & 1).all():
+                        keep.append(i)
+            yield batch.select(["rk", "key", "lines"]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
+def _sliced_suspects(keyed: DataFrame, packed: DataFrame, bits: int, min_chars: int) -> DataFrame:
+    """The suspects by a filter of so many bits that stays in slices."""
+    slices = max(SLICES, bits // SLICE_BITS)
+    filters = packed.mapInArrow(_recut(slices), "slice int, many boolean, hashes binary").repartition("slice").sortWithinPartitions("slice")
+    filters = staged(filters.mapInArrow(_fill(bits // slices), "slice int, twice binary"), "line-filters")
+    copies = filters.select("slice", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "twice")
+    rows = keyed.select("rk", "text").mapInArrow(_dealt(slices, min_chars), "slice int, hash binary, rk binary, key binary, lines array<int>")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rk"), F.lit(SALTS)).cast("int"))
+    both = rows.unionByName(copies, allowMissingColumns=True).repartition("slice", "salt").sortWithinPartitions("slice", "salt", F.col("twice").isNull())
+    return both.mapInArrow(_probe(bits // slices), "rk binary, key binary, lines array<int>")
+
+
+def _places_of(text: str | None, min_chars: int) -> dict[bytes, list[int]]:
+    """The lines of each key that counts."""
+    where: dict[bytes, list[int]] = {}
+    for i, k in enumerate(line_keys(text)):
+        if len(k) >= min_chars:
+            where.setdefault(k, []).append(i)
+    return where
+
+
 def _suspects(filters, bits: int, min_chars: int):
     """The lines of each document whose key the twice-seen filter has: one row for each distinct key of a document."""
 
@@ -103,10 +179,7 @@ def _suspects(filters, bits: int, min_chars: int):
         for batch in batches:
             key, digest, lines = [], [], []
             for rk, text in zip(batch.column("rk").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                where: dict[bytes, list[int]] = {}
-                for i, k in enumerate(line_keys(text)):
-                    if len(k) >= min_chars:
-                        where.setdefault(k, []).append(i)
+                where = _places_of(text, min_chars)
                 if not where:
                     continue
                 own = list(where)
@@ -155,28 +228,32 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", min_cha
         raise ValueError("min_chars is 0 or 1")
     packed = staged(docs.select("text").mapInArrow(_once_twice(min_chars), "slice int, many boolean, n long, hashes binary"), "line-hashes")
     n = packed.agg(F.sum("n")).first()[0] or 0
-    bits = 1 << max(10, int(np.ceil(np.log2(max(1, min(n * bits_per_key, max_bits)) / SLICES))))
-    filters = packed.repartition("slice").sortWithinPartitions("slice").mapInArrow(_fill(bits), "slice int, twice binary").collect()
-    seen = np.zeros((SLICES, bits // 8), np.uint8)
-    for s, twice in filters:
-        seen[s] = np.frombuffer(twice, np.uint8)
-    shared = spark.sparkContext.broadcast(seen)
+    bits = SLICES << max(10, int(np.ceil(np.log2(max(1, n * bits_per_key) / SLICES))))
     keyed = docs.withColumn("rk", row_key())
-    suspects = keyed.select("rk", "text").mapInArrow(_suspects(shared, bits, min_chars), "rk binary, key binary, lines array<int>")
+    if bits <= max_bits:
+        filters = packed.repartition("slice").sortWithinPartitions("slice").mapInArrow(_fill(bits // SLICES), "slice int, twice binary").collect()
+        seen = np.zeros((SLICES, bits // SLICES // 8), np.uint8)
+        for s, twice in filters:
+            seen[s] = np.frombuffer(twice, np.uint8)
+        shared = spark.sparkContext.broadcast(seen)
+        suspects = keyed.select("rk", "text").mapInArrow(_suspects(shared, bits // SLICES, min_chars), "rk binary, key binary, lines array<int>")
+    else:
+        suspects = _sliced_suspects(keyed, packed, bits, min_chars)
     if keep == "first":
         ids = docs.select(row_key().alias("rk"), F.col("doc_id").cast("string").alias("sid"), "doc_id").distinct()
         suspects = suspects.join(ids.select("rk", "doc_id"), "rk")
         suspects = staged(suspects, "line-suspects")
         first = F.min(F.struct("doc_id", "rk")).alias("first")
         keys = staged(suspects.groupBy("key").agg(F.count("*").alias("n"), first).filter(F.col("n") >= min_docs), "line-keys")
-        hit = suspects.join(keys.select("key", F.col("first.rk").alias("first_rk")), "key")
+        hit = suspects.join(keys.select("key", F.col("first.rk").alias("first_rk")), "key").dropDuplicates(["rk", "key"])
         rest = F.expr("slice(lines, 2, greatest(size(lines) - 1, 0))")
         hit = hit.select("rk", F.when(F.col("rk") == F.col("first_rk"), rest).otherwise(F.col("lines")).alias("lines"))
     else:
         suspects = staged(suspects, "line-suspects")
         # staged, so that the join reads two plain exchanges, of which Spark can split a hot key's
         keys = staged(suspects.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs), "line-keys")
-        hit = suspects.join(keys.select("key"), "key").select("rk", "lines")
+        hit = suspects.join(keys.select("key"), "key").dropDuplicates(["rk", "key"]).select("rk", "lines")
+    # equal rows have one key here: what is gathered is the lines of one text
     drop = hit.groupBy("rk").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("drop"))
     columns = docs.columns
     out = keyed.join(drop, "rk", "left").select(*columns, "drop")

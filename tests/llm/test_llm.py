@@ -83,13 +83,16 @@ def test_line_dedup(spark, keep):
     assert line_dedup.dedup_lines(empty(spark), 3, keep).count() == 0
 
 
-def test_line_dedup_full_filter(spark):
-    """A filter that says yes to everything changes nothing."""
-    rows = [(i, f"a{i}\nshared\nb{i % 7}") for i in range(80)]
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_line_dedup_beyond_the_broadcast(spark, keep, monkeypatch):
+    """A filter that is too large to be sent stays in slices, and the result is the same."""
+    monkeypatch.setattr(line_dedup, "SLICE_BITS", 256)
+    rows = [(i, f"a{i}\nshared\nb{i % 7}\nShared ") for i in range(80)]
     df = odd(spark, rows)
-    a = line_dedup.dedup_lines(df, 4, "none").select("doc_id", "kept_text").collect()
-    b = line_dedup.dedup_lines(df, 4, "none", max_bits=1).select("doc_id", "kept_text").collect()
-    assert Counter(map(tuple, a)) == Counter(map(tuple, b))
+    want = lines_by_hand([(r["doc_id"], r["text"]) for r in df.collect()], 4, keep)
+    got = line_dedup.dedup_lines(df, 4, keep, max_bits=1).collect()
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in got) == want
+    assert line_dedup.dedup_lines(empty(spark), 3, keep, max_bits=1).count() == 0
 
 
 # packing
