@@ -30,7 +30,7 @@ from .shared import flat, ranked, slices, staged
 log = logging.getLogger(__name__)
 
 #: Chunks between blanks whose ids a task remembers, and the longest chunk that it remembers, in characters.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 100_000, 64
 #: Letters whose lower case is one letter and which no composition changes, and the ASCII signs.
 _LETTERS = "".join(chr(c) for c in range(0x41, 0x250) if chr(c).isalpha() and (c < 0x80 or c >= 0xC0) and c != 0x130)
 _SIGNS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
@@ -157,7 +157,7 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches):
-        for batch in slices(batches, "text", 4_000_000):
+        for batch in slices(batches, "text", 1_500_000):
             ids, starts = token_ids(batch.column("text"), path)
             ids = np.insert(ids, starts[1:], end_id)
             starts = starts + np.arange(len(starts))
