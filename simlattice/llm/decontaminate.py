@@ -303,7 +303,7 @@ def _member(words: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[at] == words
 
 
-def matches(words: np.ndarray, row: np.ndarray, probes: Probes, chunk: int = 50_000) -> list[tuple[int, int, int, int]]:
+def matches(words: np.ndarray, row: np.ndarray, probes: Probes, together: int = 300_000) -> list[tuple[int, int, int, int]]:
     """(row, item number, place of the stretch's end in its row, distance) for every item that stands in a row."""
     if not len(words):
         return []
@@ -326,7 +326,7 @@ def matches(words: np.ndarray, row: np.ndarray, probes: Probes, chunk: int = 50_
         # an item at the tolerance has a window with no more than its share of edits, and so with that many words of the item
         need = _least_known(size, probes.tolerance)
         begin = np.flatnonzero((total[end] - total[begin] >= need) & (rarer[end] - rarer[begin] >= needed))
-        for k in range(0, len(begin), chunk):
+        for k in range(0, len(begin), chunk := max(1, together // size)):  # so many words of windows, and their copies, at once
             own = begin[k : k + chunk]
             copies: dict[int, np.ndarray] = {}
             for seed, places, keys, leads, which, offset in tables:
@@ -346,7 +346,7 @@ def matches(words: np.ndarray, row: np.ndarray, probes: Probes, chunk: int = 50_
         total = np.r_[0, np.cumsum(_member(words, vocabulary))]
         begin = np.flatnonzero(np.arange(len(words)) + length <= end_of)
         begin = begin[total[begin + length] - total[begin] == length]
-        for k in range(0, len(begin), chunk):
+        for k in range(0, len(begin), chunk := max(1, together // length)):
             some = begin[k : k + chunk]
             for hit, entry in _met(_run_keys(words[some[:, None] + np.arange(length)]), keys, leads):
                 own, item = some[hit], which[entry]
