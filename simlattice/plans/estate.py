@@ -42,11 +42,13 @@ def analyse(records: DataFrame, vectors: dict[str, DataFrame], weights: dict[str
     """records (schema.RECORD and row_idx) and vectors, {"purpose" or "prompt": (agent_id, v)}, to distances, tree and clusters.
 
     Sentence vectors come in as a table: any encoder will do. With centring, the style of sources that twins show is removed.
-    Distances are over pairs of records up to a dense matrix's size; beyond it use the joins of operators.pairs.
+    Distances are over pairs of records up to a dense matrix's size, more are refused: use the joins of operators.pairs.
     """
     weights = WEIGHTS | (weights or {})
     own = R.assign_ids(R.dedupe_copies(records)).cache()
     n = own.count()
+    if n > S.MOST:
+        raise ValueError(f"{n} records; a dense matrix of more than {S.MOST} is refused")
     ids = own.select(F.col("agent_id").alias("id"), "row_idx")
     rows = own.select(F.col("agent_id").alias("id"), "source", file_stem("source_path").alias("stem"), "row_idx")
     twins = P.twin_pairs(rows, "id", "stem", "source")
