@@ -106,6 +106,30 @@ def test_similarity_join(spark, least):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("least", [0.4, 0.8])
+def test_similarity_join_in_blocks(spark, monkeypatch, least):
+    monkeypatch.setattr(P.prefix, "SETS", 16)
+    monkeypatch.setattr(P.prefix, "ENTRIES", 200)
+    monkeypatch.setattr(P.prefix, "AT_ONCE", 256)
+    rng = random.Random(11)
+    rows = []
+    for k in range(40):
+        base = rng.sample(range(400), rng.choice((1, 3, 20, 20, 120)))
+        rows += [(f"{k}-{c}", sorted({f"w{x if rng.random() > 0.1 * c else rng.randrange(400)}" for x in base} | {"the", "of"})) for c in range(3)]
+    own = P.prefix.ordered(spark.createDataFrame(rows, "_id string, _items array<string>"))
+    sizes = Counter(len(x) for _, x in rows)
+    assert len(P.prefix._blocks(sizes, 0.5)) > 5 and any(parts > 1 for *_, parts in P.prefix._blocks(sizes, 0.5))
+    want = {}
+    for (i, a), (j, b) in itertools.combinations(sorted(rows), 2):
+        s = len(set(a) & set(b)) / len(set(a) | set(b))
+        if s >= least:
+            want[(i, j)] = s
+    met = [(r["i"], r["j"]) for r in P.prefix.candidates(own, least).collect()]
+    assert len(met) == len(set(met)) and set(met) >= set(want)
+    got = {(r["i"], r["j"]): r["similarity"] for r in P.similarity_join(spark.createDataFrame(rows, "id string, items array<string>"), least).collect()}
+    assert got == pytest.approx(want) and len(want) > 40
+
+
 def test_top_pairs(spark):
     rows = random_sets(4)
     want = sorted(((-len(set(a) & set(b)) / len(set(a) | set(b)), i, j) for (i, a), (j, b) in itertools.combinations(rows, 2)))[:30]
