@@ -9,11 +9,14 @@ are summed in a table of fixed size, which is broadcast. Frequent words, lines a
 
 A list of few classes gives its pairs. A long one gives each class's pairs with a few centers only: those members whose values stand
 in the longest lists, which is what the source of many copies looks like. A pair of full sketches that meets in fewer than MEETINGS lists is
-no candidate (prefixes are that much longer, so the bound below holds); the rest pass an estimate from the union's sketch, and exact Jaccard on full sets confirms.
+no candidate (prefixes are that much longer, so the bound below holds). The rest first compare bitmaps of their retained values, since two
+sketches differ in as many values at least as their bitmaps differ in bits: what differs in more than the bound below allows goes before any
+sketch moves. Then come an estimate from the union's sketch, and exact Jaccard on full sets, which confirms.
 
-What long lists leave is finished exactly. Classes that they connect are a family. Its members that are not yet with most of the
-family are compared with all of it, block of sets by block of sets: a pair of blocks is one row, and counts all its intersections
-at once, so neither a family's pairs nor a family ever lies in one task.
+What long lists leave is finished exactly. In each long list, the members that are not yet with most of it compare their bitmaps with all of it.
+Classes that these may connect are a family; texts that only share a frequent value are not. A family's members that are not yet with most of the
+family are compared with all of it, block of sets by block of sets: a pair of blocks counts all its intersections at once, and a block
+is copied once for every few others that it meets, so neither a family's pairs nor a family ever lies in one task, nor on disk.
 
 The bounds: a true pair is missed only if its shared values among its sketches fall five standard deviations below what
 is expected at the asked similarity.
@@ -39,6 +42,10 @@ SIGMAS = 5.0
 LONG = 32
 #: Sets and bytes of a block, or one set if it is larger.
 SETS, BLOCK_BYTES = 128, 2 << 20
+#: Bits of a bitmap of retained values, and how many bitmaps a block has.
+BITS, BITMAPS = 512, 512
+#: So many blocks on either side meet in one place.
+CELL = 8
 #: Where both sets are cut to sketches, a pair must meet in so many lists; prefixes are longer by as many, less one, so that it does.
 MEETINGS = 3
 
@@ -141,6 +148,84 @@ def _lists(counts, similarity: float):
     return run
 
 
+def _bitmaps(batches):
+    """For each class the bitmap of its retained values."""
+    for batch in batches:
+        if batch.num_rows:
+            h, m = _values(batch)
+            bits = np.zeros((batch.num_rows, BITS), bool)
+            bits[np.repeat(np.arange(len(m)), m), (mix(h ^ np.uint64(0x6A09E667F3BCC909)) % np.uint64(BITS)).astype(np.int64)] = True
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())], names=["cls", "n", "bits"])
+
+
+def _may_differ(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """In how many retained values two sets of these sizes may differ if they are alike, within the bound; below 0 if sizes rule it out."""
+    least = np.maximum(least_shared(na, percent / 100), least_shared(nb, percent / 100))
+    whole = np.maximum(na, nb) <= SKETCH
+    least = np.where(whole, -(-percent * (na + nb) // (100 + percent)), least)
+    most = np.minimum(na, SKETCH) + np.minimum(nb, SKETCH) - 2 * least
+    return np.where(100 * np.minimum(na, nb) >= percent * np.maximum(na, nb), most, -1)
+
+
+def _packed(bits: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), BITS // 64)
+
+
+def _few_differ(percent: int):
+    """Keeps pairs whose bitmaps do not rule them out."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = _packed(batch.column("bits_a").to_pylist()), _packed(batch.column("bits_b").to_pylist())
+                most = _may_differ(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
+                yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most))
+
+    return run
+
+
+def _forest(met: np.ndarray) -> list[tuple[int, int]]:
+    """As many places of a matrix as connect all rows and columns that its true places connect."""
+    out, rows, columns = [], met.any(axis=1), met.any(axis=0)
+    for i in np.flatnonzero(rows):
+        if not rows[i]:
+            continue
+        rows[i], todo = False, [i]
+        while todo:
+            r = todo.pop()
+            new = np.flatnonzero(met[r] & columns)
+            columns[new] = False
+            for c in new:
+                out.append((r, c))
+                more = np.flatnonzero(met[:, c] & rows)
+                rows[more] = False
+                out += [(x, c) for x in more]
+                todo += more.tolist()
+    return out
+
+
+def _alike_blocks(percent: int):
+    """Pairs of classes of two blocks that connect all whose bitmaps do not rule them out; those of one label are connected."""
+
+    def run(batches):
+        for batch in batches:
+            left, right = [], []
+            for a, b in zip(batch.column("mine").to_pylist(), batch.column("theirs").to_pylist(), strict=True):
+                one, two = _packed([x["bits"] for x in a]), _packed([x["bits"] for x in b])
+                labels = {}
+                la, lb = (np.array([labels.setdefault(x["label"], len(labels)) for x in rows]) for rows in (a, b))
+                na, nb = (np.array([x["n"] for x in rows]) for rows in (a, b))
+                differ = np.zeros((len(one), len(two)), np.int32)
+                for k in range(BITS // 64):
+                    differ += np.bitwise_count(one[:, k, None] ^ two[None, :, k])
+                for i, j in _forest((differ <= _may_differ(na[:, None], nb[None, :], percent)) & (la[:, None] != lb[None, :])):
+                    left.append(a[i]["cls"])
+                    right.append(b[j]["cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+
+    return run
+
+
 def _estimate(similarity: float):
     """Keeps pairs that the sketch of their union does not rule out."""
 
@@ -224,31 +309,51 @@ def _block_pairs(percent: int):
     return run
 
 
-def _family_links(long: DataFrame, heads: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _meetings(each: DataFrame, group: str, data: str, compare, percent: int, fit: int, step_bytes: int | None = None) -> DataFrame:
+    """What compare yields of blocks of each(group, cls, n, label, data) that meet: members that are not yet with most of their group meet all of it.
+
+    Blocks are of fit rows. With step_bytes, or in a group of more rows, they are of sets of about one size, so that unequal blocks need not meet
+    and, with step_bytes, a block's bytes are bounded. A block is copied for each cell of CELL blocks that it meets, not for each block."""
+    size = each.groupBy(group, "label").agg(F.count("*").alias("k"))
+    most = size.groupBy(group).agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("all")).select(group, F.col("m.label").alias("most"), "all")
+    most = staged(most, "most")
+    each = each.join(most, group).withColumn("outer", F.col("label") != F.col("most"))
+    step = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent)).cast("int")
+    rows = F.lit(fit).cast("long")
+    if step_bytes:
+        rows = F.least(rows, F.greatest(F.lit(1), F.floor(step_bytes / 8 / F.pow(F.lit(100 / percent), step + 1)))).cast("long")
+    else:
+        step = F.when(F.col("all") > fit, step).otherwise(0)
+    each = each.withColumn("tier", F.when(F.col("outer"), 0).otherwise(100_000) + step)
+    placed = ranked(each.withColumn("fit", rows), [group, "tier"], ["cls"], "place").withColumn("at", F.expr("place div fit"))
+    placed = placed.withColumn("block", F.col("tier") * F.lit(1 << 40) + F.col("at")).withColumn("cell", F.col("tier") * F.lit(1 << 40) + F.expr(f"at div {CELL}"))
+    blocks = placed.groupBy(group, "cell", "block").agg(F.collect_list(F.struct("cls", "label", "n", data)).alias("rows"), F.max("outer").alias("outer"), F.min("n").alias("low"), F.max("n").alias("high"))
+    blocks = staged(blocks, "blocks")
+    sizes = (F.col("ha") * 100 >= F.col("lb") * percent) & (F.col("hb") * 100 >= F.col("la") * percent)
+    cells = blocks.groupBy(group, "cell").agg(F.max("outer").alias("outer"), F.min("low").alias("low"), F.max("high").alias("high"))
+    one = cells.filter("outer").select(group, F.col("cell").alias("cx"), F.col("low").alias("la"), F.col("high").alias("ha"))
+    two = cells.select(group, F.col("cell").alias("cy"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("outer").alias("too"))
+    met = staged(one.join(two, group).filter((~F.col("too") | (F.col("cx") <= F.col("cy"))) & sizes).select(group, "cx", "cy"), "cells")
+    a = blocks.filter("outer").select(group, F.col("cell").alias("cx"), F.col("block").alias("x"), F.col("rows").alias("mine"), F.col("low").alias("la"), F.col("high").alias("ha"))
+    b = blocks.select(group, F.col("cell").alias("cy"), F.col("block").alias("y"), F.col("rows").alias("theirs"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("outer").alias("too"))
+    pairs = a.join(met, [group, "cx"]).join(b.join(met, [group, "cy"]), [group, "cx", "cy"]).filter((~F.col("too") | (F.col("x") <= F.col("y"))) & sizes)
+    out = staged(pairs.select("mine", "theirs").mapInArrow(compare, "a binary, b binary"), f"{group}-links")
+    discard(most, blocks, met)
+    return out
+
+
+def _family_links(long: DataFrame, bits: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components that long lists leave apart."""
     labels = labels.withColumnRenamed("node", "cls")
     named = staged(long.join(labels, "cls", "left").select("value", "cls", "n", F.coalesce("label", "cls").alias("label")), "named")
     split = staged(named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("value"), "split")
     left = staged(named.join(split, "value"), "left")
-    stars = left.join(heads.select("value", F.col("c0.cls").alias("c")), "value").select(F.col("cls").alias("a"), F.col("c").alias("b")).distinct()
-    family = components(stars).select(F.col("node").alias("cls"), F.col("label").alias("family"))
+    # left is small in Parquet and large in memory: it is not to be broadcast
+    near = _meetings(left.hint("merge").join(bits.select("cls", "bits"), "cls"), "value", "bits", _alike_blocks(percent), percent, BITMAPS)
+    family = components(near).select(F.col("node").alias("cls"), F.col("label").alias("family"))
     each = staged(left.select("cls", "n", "label").distinct().join(family, "cls"), "families")
-    size = each.groupBy("family", "label").agg(F.count("*").alias("k"))
-    most = staged(size.groupBy("family").agg(F.max(F.struct("k", "label")).alias("m")).select("family", F.col("m.label").alias("most")), "most")
-    each = each.join(most, "family").withColumn("outer", F.col("label") != F.col("most"))
-    # blocks are of sets of about one size, so that unequal blocks need not meet and a block's bytes are bounded
-    step = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent)).cast("int")
-    each = each.withColumn("tier", F.when(F.col("outer"), 0).otherwise(100_000) + step)
-    fit = F.least(F.lit(SETS), F.greatest(F.lit(1), F.floor(BLOCK_BYTES / 8 / F.pow(F.lit(100 / percent), step + 1)))).cast("long")
-    placed = ranked(each.withColumn("fit", fit), ["family", "tier"], ["cls"], "place")
-    placed = placed.withColumn("block", F.col("tier") * F.lit(1 << 40) + F.expr("place div fit")).join(sets, "cls")
-    blocks = placed.groupBy("family", "block").agg(F.collect_list(F.struct("cls", "label", "set")).alias("rows"), F.max("outer").alias("outer"), F.min("n").alias("low"), F.max("n").alias("high"))
-    blocks = staged(blocks, "blocks")
-    a = blocks.filter("outer").select("family", F.col("block").alias("x"), F.col("rows").alias("mine"), F.col("low").alias("la"), F.col("high").alias("ha"))
-    b = blocks.select("family", F.col("block").alias("y"), F.col("rows").alias("theirs"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("outer").alias("too"))
-    met = a.join(b, "family").filter((~F.col("too") | (F.col("x") <= F.col("y"))) & (F.col("ha") * 100 >= F.col("lb") * percent) & (F.col("hb") * 100 >= F.col("la") * percent))
-    links = staged(met.select("mine", "theirs").repartition("mine", "theirs").mapInArrow(_block_pairs(percent), "a binary, b binary"), "family-links")
-    discard(named, split, left, most, blocks)
+    links = _meetings(each.join(sets, "cls"), "family", "set", _block_pairs(percent), percent, SETS, BLOCK_BYTES)
+    discard(named, split, left, near, each)
     return links
 
 
@@ -302,12 +407,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keys:
     met = staged(pairs.select("a", "b"), "met")
     discard(lists)
     both = lambda df: df.select(F.col("a").alias("cls")).union(df.select(F.col("b").alias("cls"))).distinct()
-    known = staged(both(met), "meeting")
-    # a bitmap first: only classes that meet any other move
+    known = staged(both(met).union(long.select("cls")).distinct(), "meeting")
+    # a filter first: only classes that meet any other move, and their sketches only if bitmaps do not rule it out
+    bits = staged(maybe_among(classes.select("cls", "n", "sketch"), "cls", bitmap(known, "cls")).mapInArrow(_bitmaps, "cls binary, n long, bits binary"), "meeting-bits")
+    own, other = bits.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), bits.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    near = staged(met.join(own, "a").join(other, "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_few_differ(percent), "a binary, b binary"), "near")
+    discard(met, known)
+    known = staged(both(near), "near-classes")
     drawn = staged(maybe_among(classes.select("cls", "sketch"), "cls", bitmap(known, "cls")), "meeting-sketches")
     own, other = drawn.select(F.col("cls").alias("a"), F.col("sketch").alias("sketch_a")), drawn.select(F.col("cls").alias("b"), F.col("sketch").alias("sketch_b"))
-    pairs = staged(met.join(own, "a").join(other, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate(similarity), "a binary, b binary"), "candidates")
-    discard(drawn, met, known)
+    pairs = staged(near.join(own, "a").join(other, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate(similarity), "a binary, b binary"), "candidates")
+    discard(drawn, near, known)
 
     needed = both(pairs).union(long.select("cls")).distinct()
     reps = staged(classes.select("cls", "rk").join(needed, "cls"), "needed")
@@ -319,8 +429,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keys:
     links = staged(pairs.join(own, "a").join(other, "b").select("a", "b", "set_a", "set_b").mapInArrow(_exact(percent), "a binary, b binary"), "links")
     discard(reps, pairs)
     labels = components(links)
-    more = _family_links(long, heads, labels, sets, percent)
-    discard(sets, long, heads)
+    more = _family_links(long, bits, labels, sets, percent)
+    discard(sets, long, heads, bits)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     discard(more, links)

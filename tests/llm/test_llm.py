@@ -292,6 +292,59 @@ def test_near_dedup_long_lists(spark):
     assert Counter(map(tuple, got)) == groups_by_hand(rows, 2, 80)
 
 
+def test_near_dedup_frequent_passages_make_no_family(spark, monkeypatch):
+    """Texts of frequent passages meet in long lists only; their sets are compared only where texts may be alike, and no link is lost."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    passages = [" ".join(word() for _ in range(8)) for _ in range(40)]
+    rows = [(i, " ".join(rng.sample(passages, 9))) for i in range(240)]
+    rows += [(1000 + i, rows[i][1] + " " + word()) for i in range(0, 240, 30)]
+    compared, real = {}, near_dedup.staged
+
+    def spy(df, name):
+        out = real(df, name)
+        compared[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "staged", spy)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, near_dedup.near_duplicates(df, 2, 80).collect())) == groups_by_hand(rows, 2, 80)
+    assert compared["long"] > 500 and compared["families"] < 40
+
+
+def test_near_dedup_bitmaps_rule_out_no_alike_sets():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        n = int(rng.integers(1, 3000))
+        pool = np.unique(rng.integers(0, 2**63, 2 * n + 50).astype(np.uint64))
+        a = pool[rng.permutation(len(pool))[:n]]
+        b = np.r_[a[int(rng.integers(0, n // 9 + 1)) :], rng.permutation(np.setdiff1d(pool, a))[: int(rng.integers(0, n // 9 + 1))]]
+        if 100 * len(np.intersect1d(a, b)) < 80 * len(np.union1d(a, b)):
+            continue
+        sketch = [np.sort(x)[: near_dedup.SKETCH].tobytes() for x in (a, b)]
+        batch = pa.RecordBatch.from_arrays([pa.array([b"a", b"b"], pa.binary()), pa.array([len(a), len(b)]), pa.array(sketch, pa.binary())], names=["cls", "n", "sketch"])
+        x, y = near_dedup._packed(next(near_dedup._bitmaps([batch])).column("bits").to_pylist())
+        assert np.bitwise_count(x ^ y).sum() <= near_dedup._may_differ(np.array([len(a)]), np.array([len(b)]), 80)[0]
+
+
+def test_forest():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        met = rng.random(rng.integers(1, 30, 2)) < 0.06
+        got = near_dedup._forest(met)
+        up = {}
+
+        def find(x, up=up):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for r, c in got:
+            assert met[r, c] and find(("r", r)) != find(("c", c))  # no circle
+            up[find(("r", r))] = find(("c", c))
+        assert all(find(("r", r)) == find(("c", c)) for r, c in zip(*np.nonzero(met), strict=True))
+
+
 def test_near_dedup_confirms_on_bytes(spark):
     """Words that collide under every polynomial hash modulo a power of two are different words."""
     a = "a"
