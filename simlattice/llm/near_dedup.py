@@ -342,8 +342,8 @@ def _meetings(each: DataFrame, group: str, data: str, compare, percent: int, fit
     return out
 
 
-def _family_links(long: DataFrame, bits: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components that long lists leave apart."""
+def _family_links(long: DataFrame, bits: DataFrame, labels: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Links between components that long lists leave apart. sets_of gives the full sets of classes, and is asked for those in families only."""
     labels = labels.withColumnRenamed("node", "cls")
     named = staged(long.join(labels, "cls", "left").select("value", "cls", "n", F.coalesce("label", "cls").alias("label")), "named")
     split = staged(named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("value"), "split")
@@ -352,8 +352,9 @@ def _family_links(long: DataFrame, bits: DataFrame, labels: DataFrame, sets: Dat
     near = _meetings(left.hint("merge").join(bits.select("cls", "bits"), "cls"), "value", "bits", _alike_blocks(percent), percent, BITMAPS)
     family = components(near).select(F.col("node").alias("cls"), F.col("label").alias("family"))
     each = staged(left.select("cls", "n", "label").distinct().join(family, "cls"), "families")
+    sets = sets_of(each)
     links = _meetings(each.join(sets, "cls"), "family", "set", _block_pairs(percent), percent, SETS, BLOCK_BYTES)
-    discard(named, split, left, near, each)
+    discard(named, split, left, near, each, sets)
     return links
 
 
@@ -422,15 +423,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keys:
     needed = both(pairs).union(long.select("cls")).distinct()
     reps = staged(classes.select("cls", "rk").join(needed, "cls"), "needed")
     discard(classes)
-    texts = maybe_among(keyed.select("rk", "text"), "rk", bitmap(reps, "rk")).join(reps, "rk").select("cls", "text")
-    sets = staged(texts.mapInArrow(_sets(shingle), "cls binary, set binary").groupBy("cls").agg(F.min("set").alias("set")), "sets")  # equal rows have one rk
+
+    def sets_of(own: DataFrame) -> DataFrame:
+        """The full sets of these classes, which reps has."""
+        asked = staged(reps.join(own.select("cls").distinct(), "cls"), "asked")
+        texts = maybe_among(keyed.select("rk", "text"), "rk", bitmap(asked, "rk")).join(asked, "rk").select("cls", "text")
+        sets = staged(texts.mapInArrow(_sets(shingle), "cls binary, set binary").groupBy("cls").agg(F.min("set").alias("set")), "sets")  # equal rows have one rk
+        discard(asked)
+        return sets
+
+    sets = sets_of(both(pairs))
     own = sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a"))
     other = sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b"))
     links = staged(pairs.join(own, "a").join(other, "b").select("a", "b", "set_a", "set_b").mapInArrow(_exact(percent), "a binary, b binary"), "links")
-    discard(reps, pairs)
+    discard(pairs, sets)  # of long lists, only families need sets
     labels = components(links)
-    more = _family_links(long, bits, labels, sets, percent)
-    discard(sets, long, heads, bits)
+    more = _family_links(long, bits, labels, sets_of, percent)
+    discard(reps, long, heads, bits)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     discard(more, links)
