@@ -309,8 +309,9 @@ def _block_pairs(percent: int):
     return run
 
 
-def _meetings(each: DataFrame, group: str, data: str, compare, percent: int, fit: int, step_bytes: int | None = None) -> DataFrame:
-    """What compare yields of blocks of each(group, cls, n, label, data) that meet: members that are not yet with most of their group meet all of it.
+def _meetings(each: DataFrame, group: str, data: DataFrame, compare, percent: int, fit: int, step_bytes: int | None = None) -> DataFrame:
+    """What compare yields of blocks of each(group, cls, n, label) that meet: members that are not yet with most of their group meet all of it.
+    data(cls, one more column) has a row for each class; it is joined once, when every member has its block.
 
     Blocks are of fit rows. With step_bytes, or in a group of more rows, they are of sets of about one size, so that unequal blocks need not meet
     and, with step_bytes, a block's bytes are bounded. A block is copied for each cell of CELL blocks that it meets, not for each block."""
@@ -324,10 +325,12 @@ def _meetings(each: DataFrame, group: str, data: str, compare, percent: int, fit
         rows = F.least(rows, F.greatest(F.lit(1), F.floor(step_bytes / 8 / F.pow(F.lit(100 / percent), step + 1)))).cast("long")
     else:
         step = F.when(F.col("all") > fit, step).otherwise(0)
-    each = each.withColumn("tier", F.when(F.col("outer"), 0).otherwise(100_000) + step)
-    placed = ranked(each.withColumn("fit", rows), [group, "tier"], ["cls"], "place").withColumn("at", F.expr("place div fit"))
+    each = each.withColumn("tier", F.when(F.col("outer"), 0).otherwise(100_000) + step).withColumn("fit", rows)
+    each = staged(each.select(group, "cls", "n", "label", "outer", "tier", "fit"), "tiers")
+    # each is small in Parquet and large in memory: it is not to be broadcast
+    placed = ranked(each, [group, "tier"], ["cls"], "place").withColumn("at", F.expr("place div fit")).hint("merge").join(data, "cls")
     placed = placed.withColumn("block", F.col("tier") * F.lit(1 << 40) + F.col("at")).withColumn("cell", F.col("tier") * F.lit(1 << 40) + F.expr(f"at div {CELL}"))
-    blocks = placed.groupBy(group, "cell", "block").agg(F.collect_list(F.struct("cls", "label", "n", data)).alias("rows"), F.max("outer").alias("outer"), F.min("n").alias("low"), F.max("n").alias("high"))
+    blocks = placed.groupBy(group, "cell", "block").agg(F.collect_list(F.struct("cls", "label", "n", data.columns[-1])).alias("rows"), F.max("outer").alias("outer"), F.min("n").alias("low"), F.max("n").alias("high"))
     blocks = staged(blocks, "blocks")
     sizes = (F.col("ha") * 100 >= F.col("lb") * percent) & (F.col("hb") * 100 >= F.col("la") * percent)
     cells = blocks.groupBy(group, "cell").agg(F.max("outer").alias("outer"), F.min("low").alias("low"), F.max("high").alias("high"))
@@ -338,7 +341,7 @@ def _meetings(each: DataFrame, group: str, data: str, compare, percent: int, fit
     b = blocks.select(group, F.col("cell").alias("cy"), F.col("block").alias("y"), F.col("rows").alias("theirs"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("outer").alias("too"))
     pairs = a.join(met, [group, "cx"]).join(b.join(met, [group, "cy"]), [group, "cx", "cy"]).filter((~F.col("too") | (F.col("x") <= F.col("y"))) & sizes)
     out = staged(pairs.select("mine", "theirs").mapInArrow(compare, "a binary, b binary"), f"{group}-links")
-    discard(most, blocks, met)
+    discard(most, each, blocks, met)
     return out
 
 
@@ -348,12 +351,11 @@ def _family_links(long: DataFrame, bits: DataFrame, labels: DataFrame, sets_of,
     named = staged(long.join(labels, "cls", "left").select("value", "cls", "n", F.coalesce("label", "cls").alias("label")), "named")
     split = staged(named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("value"), "split")
     left = staged(named.join(split, "value"), "left")
-    # left is small in Parquet and large in memory: it is not to be broadcast
-    near = _meetings(left.hint("merge").join(bits.select("cls", "bits"), "cls"), "value", "bits", _alike_blocks(percent), percent, BITMAPS)
+    near = _meetings(left, "value", bits.select("cls", "bits"), _alike_blocks(percent), percent, BITMAPS)
     family = components(near).select(F.col("node").alias("cls"), F.col("label").alias("family"))
     each = staged(left.select("cls", "n", "label").distinct().join(family, "cls"), "families")
     sets = sets_of(each)
-    links = _meetings(each.join(sets, "cls"), "family", "set", _block_pairs(percent), percent, SETS, BLOCK_BYTES)
+    links = _meetings(each, "family", sets, _block_pairs(percent), percent, SETS, BLOCK_BYTES)
     discard(named, split, left, near, each, sets)
     return links
 
@@ -394,8 +396,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keys:
     one, two = short.select("value", F.col("cls").alias("a"), F.col("n").alias("na")), short.select("value", F.col("cls").alias("b"), F.col("n").alias("nb"))
     pairs = one.join(two, "value").filter((F.col("a") < F.col("b")) & alike("na", "nb")).select("a", "b", F.least("na", "nb").alias("n"))
     long = lists.filter(F.col("many") > most)
-    fame = long.groupBy("cls").agg(F.sum(F.log("many")).alias("fame"))
-    long = staged(long.join(fame, "cls"), "long")
+    long = long.groupBy("cls").agg(F.min("n").alias("n"), F.sum(F.log("many")).alias("fame"), F.collect_list("value").alias("values"))  # SKETCH values at most
+    long = staged(long.select("cls", "n", "fame", F.explode("values").alias("value")), "long")
     center = F.struct("fame", "cls", "n")
     half = lambda k: F.max(F.when(F.pmod(F.xxhash64("cls"), F.lit(2)) == k, center))
     heads = staged(long.groupBy("value").agg(F.max(center).alias("c0"), half(0).alias("c1"), half(1).alias("c2")), "heads")

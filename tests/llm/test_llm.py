@@ -313,6 +313,51 @@ def test_near_dedup_frequent_passages_make_no_family(spark, monkeypatch):
     assert compared["needed"] > 100 and compared["sets"] < 40  # sets are made for few
 
 
+def rows_of_joins(spark, pattern):
+    """Output rows of all joins so far whose plan line matches, by Spark's own metrics."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    for i in range(store.executionsList().size()):
+        run = store.executionsList().apply(i).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if re.search(pattern, node.desc()):
+                metrics = (node.metrics().apply(k) for k in range(node.metrics().size()))
+                found = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                total += sum(int(x.get().replace(",", "")) for x in found if x.isDefined())
+    return total
+
+
+def test_near_dedup_entries_of_long_lists_are_joined_once(spark, monkeypatch):
+    """A group of near copies has an entry for each member and listed value: its joins by class grow as these entries, and are run once."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    real, long = near_dedup.staged, []
+
+    def spy(df, name):
+        out = real(df, name)
+        if name == "long":
+            long.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "staged", spy)
+    by_class = r"Join \[cls#\d+L?\], \[cls#\d+L?\], Inner"
+    for members in (80, 160):
+        base = [word() for _ in range(150)]
+        rows = []
+        for i in range(members):
+            own = list(base)
+            for _ in range(rng.choice((1, 4, 9, 14, 20))):
+                own[rng.randrange(len(own))] = word()
+            rows.append((i, " ".join(own)))
+        before = rows_of_joins(spark, by_class)
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+        assert Counter(map(tuple, got)) == groups_by_hand(rows, 2, 80)
+        made = rows_of_joins(spark, by_class) - before
+        assert long[-1] > 8 * members  # each is in many long lists
+        assert long[-1] / 2 < made <= 1.5 * long[-1] + 8 * members
+
+
 def test_near_dedup_bitmaps_rule_out_no_alike_sets():
     rng = np.random.default_rng(5)
     for _ in range(400):
