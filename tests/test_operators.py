@@ -227,6 +227,23 @@ def test_twins_and_bands(spark):
     assert got == sorted((i, j) for x, i in a for y, j in b if abs(x - y) <= 0.03)
 
 
+def test_twins_of_one_stem_are_made_in_many_tasks(spark, monkeypatch):
+    """Blocks of a frequent stem are dealt out, and no pair is lost or made twice; ties and nulls have none."""
+    monkeypatch.setattr(P, "TWIN_BLOCK", 16, raising=False)
+    rng = random.Random(3)
+    rows = [(i, rng.choice("abc"), "x" if i % 9 else "y", rng.randrange(300)) for i in range(240)]
+    rows += [(500, None, "x", 1), (501, "a", None, 2), (502, "b", "x", None), (503, "a", "z", 5)]
+    df = spark.createDataFrame(rows, "id long, source string, stem string, row_idx long")
+    want = sorted((i, j, s, t) for i, s, k, o in rows for j, t, m, p in rows if k == m and None not in (k, s, t, o, p) and o < p and s != t)
+    twins = P.twin_pairs(df, "id", "stem", "source")
+    assert rows_of(twins, "i", "j", "si", "sj") == want
+    shares = [r["count"] for r in twins.groupBy(F.spark_partition_id().alias("at")).count().collect()]
+    assert max(shares) < 0.6 * len(want)
+    named = P.twin_pairs(df, "id", "stem", "source", relation=lambda a, b: F.concat(a, F.lit(">"), b))
+    assert rows_of(named, "i", "j", "relation") == [(i, j, f"{s}>{t}") for i, j, s, t in want]
+    assert P.twin_pairs(df.limit(0), "id", "stem", "source").count() == 0
+
+
 def vectors(spark, n=60, d=8, seed=0, shift=3.0):
     rng = np.random.default_rng(seed)
     rows = []
