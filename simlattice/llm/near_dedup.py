@@ -14,7 +14,10 @@ sketches differ in as many values at least as their bitmaps differ in bits: what
 sketch moves. Then come an estimate from the union's sketch, and exact Jaccard on full sets, which confirms.
 
 What long lists leave is finished exactly. In each long list, the members that are not yet with most of it compare their bitmaps with all of it.
-Classes that these may connect are a family; texts that only share a frequent value are not. A family's members that are not yet with most of the
+Classes that these may connect are a family; texts that only share a frequent value are not. A group of near copies has many long lists of about
+the same members, so each class first meets others in its longest list only; then all lists meet, and only what joins the families of the first
+time is a link. A task gives no link between what its links connect already. So links are about as many as classes, not as entries of lists nor
+as pairs of blocks. A family's members that are not yet with most of the
 family are compared with all of it, block of sets by block of sets: a pair of blocks counts all its intersections at once, and a block
 is copied once for every few others that it meets, so neither a family's pairs nor a family ever lies in one task, nor on disk.
 
@@ -46,6 +49,8 @@ SETS, BLOCK_BYTES = 128, 2 << 20
 BITS, BITMAPS = 512, 512
 #: So many blocks on either side meet in one place.
 CELL = 8
+#: A task remembers so many names of what it has connected; then it starts anew, and may give a link again.
+JOINED = 1 << 17
 #: Where both sets are cut to sketches, a pair must meet in so many lists; prefixes are longer by as many, less one, so that it does.
 MEETINGS = 3
 
@@ -204,23 +209,50 @@ def _forest(met: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+class _Joined:
+    """What has been connected so far."""
+
+    def __init__(self):
+        self.up = {}
+
+    def _find(self, x):
+        up = self.up
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, a, b) -> bool:
+        """Whether a and b had to be connected."""
+        if len(self.up) > JOINED:
+            self.up.clear()
+        a, b = self._find(a), self._find(b)
+        self.up[a] = b
+        return a != b
+
+
 def _alike_blocks(percent: int):
-    """Pairs of classes of two blocks that connect all whose bitmaps do not rule them out; those of one label are connected."""
+    """Pairs of classes of two blocks that connect all whose bitmaps do not rule them out; those of one label are connected, and so are those of
+    one known family. Of all blocks in a task, only as many pairs as connect the families that they connect."""
 
     def run(batches):
+        joined = _Joined()
         for batch in batches:
             left, right = [], []
             for a, b in zip(batch.column("mine").to_pylist(), batch.column("theirs").to_pylist(), strict=True):
                 one, two = _packed([x["bits"] for x in a]), _packed([x["bits"] for x in b])
-                labels = {}
+                labels, known = {}, {}
                 la, lb = (np.array([labels.setdefault(x["label"], len(labels)) for x in rows]) for rows in (a, b))
+                ka, kb = (np.array([known.setdefault(x["known"], len(known)) for x in rows]) for rows in (a, b))
                 na, nb = (np.array([x["n"] for x in rows]) for rows in (a, b))
                 differ = np.zeros((len(one), len(two)), np.int32)
                 for k in range(BITS // 64):
                     differ += np.bitwise_count(one[:, k, None] ^ two[None, :, k])
-                for i, j in _forest((differ <= _may_differ(na[:, None], nb[None, :], percent)) & (la[:, None] != lb[None, :])):
-                    left.append(a[i]["cls"])
-                    right.append(b[j]["cls"])
+                apart = (la[:, None] != lb[None, :]) & (ka[:, None] != kb[None, :])
+                for i, j in _forest((differ <= _may_differ(na[:, None], nb[None, :], percent)) & apart):
+                    if joined.join(a[i]["known"], b[j]["known"]):
+                        left.append(a[i]["cls"])
+                        right.append(b[j]["cls"])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
     return run
@@ -269,9 +301,10 @@ def _exact(percent: int):
 
 
 def _block_pairs(percent: int):
-    """Links between two blocks of sets: of each pair of labels that meet, as many as connect what they connect."""
+    """Links between two blocks of sets: of all blocks in a task, as many as connect the labels that they connect."""
 
     def run(batches):
+        joined = _Joined()
         for batch in batches:
             left, right = [], []
             for a, b in zip(batch.column("mine").to_pylist(), batch.column("theirs").to_pylist(), strict=True):
@@ -291,17 +324,8 @@ def _block_pairs(percent: int):
 
                     shared += grid(one) @ grid(two).T
                 linked = 100 * shared >= percent * (na[:, None] + nb[None, :] - shared)
-                root = {}
-
-                def find(x, root=root):
-                    while root.setdefault(x, x) != x:
-                        x = root[x]
-                    return x
-
                 for i, j in zip(*np.nonzero(linked), strict=True):
-                    x, y = find(a[i]["label"]), find(b[j]["label"])
-                    if x != y:
-                        root[x] = y
+                    if joined.join(a[i]["label"], b[j]["label"]):
                         left.append(a[i]["cls"])
                         right.append(b[j]["cls"])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
@@ -311,10 +335,11 @@ def _block_pairs(percent: int):
 
 def _meetings(each: DataFrame, group: str, data: DataFrame, compare, percent: int, fit: int, step_bytes: int | None = None) -> DataFrame:
     """What compare yields of blocks of each(group, cls, n, label) that meet: members that are not yet with most of their group meet all of it.
-    data(cls, one more column) has a row for each class; it is joined once, when every member has its block.
+    data(cls, one more column) has a row for each class; it is joined once, when every member has its block. Further columns of each go with its rows.
 
     Blocks are of fit rows. With step_bytes, or in a group of more rows, they are of sets of about one size, so that unequal blocks need not meet
     and, with step_bytes, a block's bytes are bounded. A block is copied for each cell of CELL blocks that it meets, not for each block."""
+    more = [c for c in each.columns if c not in (group, "cls", "n", "label")]
     size = each.groupBy(group, "label").agg(F.count("*").alias("k"))
     most = size.groupBy(group).agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("all")).select(group, F.col("m.label").alias("most"), "all")
     most = staged(most, "most")
@@ -326,11 +351,11 @@ def _meetings(each: DataFrame, group: str, data: DataFrame, compare, percent: in
     else:
         step = F.when(F.col("all") > fit, step).otherwise(0)
     each = each.withColumn("tier", F.when(F.col("outer"), 0).otherwise(100_000) + step).withColumn("fit", rows)
-    each = staged(each.select(group, "cls", "n", "label", "outer", "tier", "fit"), "tiers")
+    each = staged(each.select(group, "cls", "n", "label", *more, "outer", "tier", "fit"), "tiers")
     # each is small in Parquet and large in memory: it is not to be broadcast
     placed = ranked(each, [group, "tier"], ["cls"], "place").withColumn("at", F.expr("place div fit")).hint("merge").join(data, "cls")
     placed = placed.withColumn("block", F.col("tier") * F.lit(1 << 40) + F.col("at")).withColumn("cell", F.col("tier") * F.lit(1 << 40) + F.expr(f"at div {CELL}"))
-    blocks = placed.groupBy(group, "cell", "block").agg(F.collect_list(F.struct("cls", "label", "n", data.columns[-1])).alias("rows"), F.max("outer").alias("outer"), F.min("n").alias("low"), F.max("n").alias("high"))
+    blocks = placed.groupBy(group, "cell", "block").agg(F.collect_list(F.struct("cls", "label", "n", *more, data.columns[-1])).alias("rows"), F.max("outer").alias("outer"), F.min("n").alias("low"), F.max("n").alias("high"))
     blocks = staged(blocks, "blocks")
     sizes = (F.col("ha") * 100 >= F.col("lb") * percent) & (F.col("hb") * 100 >= F.col("la") * percent)
     cells = blocks.groupBy(group, "cell").agg(F.max("outer").alias("outer"), F.min("low").alias("low"), F.max("high").alias("high"))
@@ -349,14 +374,21 @@ def _family_links(long: DataFrame, bits: DataFrame, labels: DataFrame, sets_of,
     """Links between components that long lists leave apart. sets_of gives the full sets of classes, and is asked for those in families only."""
     labels = labels.withColumnRenamed("node", "cls")
     named = staged(long.join(labels, "cls", "left").select("value", "cls", "n", F.coalesce("label", "cls").alias("label")), "named")
-    split = staged(named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("value"), "split")
-    left = staged(named.join(split, "value"), "left")
-    near = _meetings(left, "value", bits.select("cls", "bits"), _alike_blocks(percent), percent, BITMAPS)
-    family = components(near).select(F.col("node").alias("cls"), F.col("label").alias("family"))
-    each = staged(left.select("cls", "n", "label").distinct().join(family, "cls"), "families")
+    split = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("many"))
+    split = staged(split.filter("low <> high").select("value", "many"), "split")
+    left = named.join(split, "value").groupBy("cls").agg(F.min("n").alias("n"), F.min("label").alias("label"), F.max(F.struct("many", "value")).alias("longest"), F.collect_list("value").alias("lists"))
+    left = staged(left.select("cls", "n", "label", F.col("longest.value").alias("longest"), "lists"), "left")  # SKETCH lists at most
+    bits = bits.select("cls", "bits")
+    once = left.select(F.col("longest").alias("value"), "cls", "n", "label", F.col("cls").alias("known"))
+    first = _meetings(once, "value", bits, _alike_blocks(percent), percent, BITMAPS)
+    known = components(first).select(F.col("node").alias("cls"), F.col("label").alias("known"))
+    entries = left.join(known, "cls", "left").select(F.explode("lists").alias("value"), "cls", "n", "label", F.coalesce("known", "cls").alias("known"))
+    near = _meetings(entries, "value", bits, _alike_blocks(percent), percent, BITMAPS)
+    family = components(first.unionByName(near)).select(F.col("node").alias("cls"), F.col("label").alias("family"))
+    each = staged(left.select("cls", "n", "label").join(family, "cls"), "families")
     sets = sets_of(each)
     links = _meetings(each, "family", sets, _block_pairs(percent), percent, SETS, BLOCK_BYTES)
-    discard(named, split, left, near, each, sets)
+    discard(named, split, left, first, near, each, sets)
     return links
 
 

@@ -358,6 +358,72 @@ def test_near_dedup_entries_of_long_lists_are_joined_once(spark, monkeypatch):
         assert long[-1] / 2 < made <= 1.5 * long[-1] + 8 * members
 
 
+def near_copies(members, seed):
+    """(id, text) of copies of one text with their own edits, some of which are too many for a link."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    base = [word() for _ in range(150)]
+    rows = []
+    for i in range(members):
+        own = list(base)
+        for _ in range(rng.choice((1, 4, 9, 14, 20))):
+            own[rng.randrange(len(own))] = word()
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_near_dedup_links_grow_as_classes(spark, monkeypatch):
+    """Near copies share many long lists, each of many blocks: links are about as many as classes, not as pairs of blocks of every list."""
+    real, made = near_dedup.staged, Counter()
+
+    def spy(df, name):
+        out = real(df, name)
+        if name.endswith("-links"):
+            made[name] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "staged", spy)
+    monkeypatch.setattr(near_dedup, "BITMAPS", 8)
+    monkeypatch.setattr(near_dedup, "SETS", 8)
+    for members in (80, 160):
+        rows = near_copies(members, 4)
+        made.clear()
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+        assert Counter(map(tuple, got)) == groups_by_hand(rows, 2, 80)
+        assert made["value-links"] <= 4 * members and made["family-links"] <= 4 * members
+
+
+@pytest.mark.parametrize("remembered", [1 << 17, 3])
+def test_near_dedup_blocks_of_a_task_give_no_link_again(monkeypatch, remembered):
+    """Over all blocks of a task: what may be alike is connected, by no more pairs than that takes, unless the task forgets."""
+    monkeypatch.setattr(near_dedup, "JOINED", remembered)
+    texts = [t for seed in (4, 5) for _, t in near_copies(40, seed)]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(80)), pa.array([b"%d" % i for i in range(80)]), pa.array(texts)], names=["doc_id", "rk", "text"])
+    rows = [x | {"label": b"%d" % (i // 3), "known": b"k%d" % (i // 2)} for i, x in enumerate(y for b in near_dedup._sketch(2)([docs]) for z in near_dedup._bitmaps([b]) for y in z.to_pylist())]
+    blocks = [rows[i : i + 10] for i in range(0, 80, 10)]
+    one_list = pa.RecordBatch.from_pylist([{"mine": a, "theirs": b} for i, a in enumerate(blocks) for b in blocks[i:]])
+    got = [(x["a"], x["b"]) for b in near_dedup._alike_blocks(80)([one_list] * 5) for x in b.to_pylist()]
+    of, up = {x["cls"]: x for x in rows}, {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in got:
+        a, b = find(of[a]["known"]), find(of[b]["known"])
+        assert a != b or remembered == 3
+        up[a] = b
+    bits = near_dedup._packed([x["bits"] for x in rows])
+    n = np.array([x["n"] for x in rows])
+    differ = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2, dtype=np.int64)
+    may = differ <= near_dedup._may_differ(n[:, None], n[None, :], 80)
+    for i, j in zip(*np.nonzero(may), strict=True):
+        if rows[i]["label"] != rows[j]["label"]:
+            assert find(rows[i]["known"]) == find(rows[j]["known"])
+    assert len({find(x["known"]) for x in rows}) >= 2 and len(got) > 20
+
+
 def test_near_dedup_bitmaps_rule_out_no_alike_sets():
     rng = np.random.default_rng(5)
     for _ in range(400):
