@@ -16,7 +16,7 @@ sketch moves. Then come an estimate from the union's sketch, and exact Jaccard o
 What long lists leave is finished exactly. In each long list, the members that are not yet with most of it compare their bitmaps with all of it.
 Classes that these may connect are a family; texts that only share a frequent value are not. A group of near copies has many long lists of about
 the same members, so each class first meets others in its longest list only; then all lists meet, and only what joins the families of the first
-time is a link. A task gives no link between what its links connect already. So links are about as many as classes, not as entries of lists nor
+time is a link. A task gives each class once, with the smallest that it connects it to. So links are about as many as classes, not as entries of lists nor
 as pairs of blocks. A family's members that are not yet with most of the
 family are compared with all of it, block of sets by block of sets: a pair of blocks counts all its intersections at once, and a block
 is copied once for every few others that it meets, so neither a family's pairs nor a family ever lies in one task, nor on disk.
@@ -49,7 +49,7 @@ SETS, BLOCK_BYTES = 128, 2 << 20
 BITS, BITMAPS = 512, 512
 #: So many blocks on either side meet in one place.
 CELL = 8
-#: A task remembers so many names of what it has connected; then it starts anew, and may give a link again.
+#: A task remembers so many names of what it has connected; then it gives its links and starts anew.
 JOINED = 1 << 17
 #: Where both sets are cut to sketches, a pair must meet in so many lists; prefixes are longer by as many, less one, so that it does.
 MEETINGS = 3
@@ -210,7 +210,7 @@ def _forest(met: np.ndarray) -> list[tuple[int, int]]:
 
 
 class _Joined:
-    """What has been connected so far."""
+    """What a task has connected."""
 
     def __init__(self):
         self.up = {}
@@ -222,23 +222,27 @@ class _Joined:
             x = up[x]
         return x
 
-    def join(self, a, b) -> bool:
-        """Whether a and b had to be connected."""
-        if len(self.up) > JOINED:
-            self.up.clear()
+    def join(self, a, b) -> None:
         a, b = self._find(a), self._find(b)
-        self.up[a] = b
-        return a != b
+        self.up[max(a, b)] = min(a, b)
+
+    def full(self) -> bool:
+        return len(self.up) > JOINED
+
+    def links(self) -> pa.RecordBatch:
+        """Each name with the smallest that it is connected to; then it starts anew."""
+        found = [(x, y) for x in list(self.up) if (y := self._find(x)) != x]
+        self.up.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
 
 
 def _alike_blocks(percent: int):
-    """Pairs of classes of two blocks that connect all whose bitmaps do not rule them out; those of one label are connected, and so are those of
-    one known family. Of all blocks in a task, only as many pairs as connect the families that they connect."""
+    """Links of known families whose classes' bitmaps do not rule them out: over all blocks of a task, each with the smallest that it is
+    connected to. Classes of one label or one family are not compared."""
 
     def run(batches):
         joined = _Joined()
         for batch in batches:
-            left, right = [], []
             for a, b in zip(batch.column("mine").to_pylist(), batch.column("theirs").to_pylist(), strict=True):
                 one, two = _packed([x["bits"] for x in a]), _packed([x["bits"] for x in b])
                 labels, known = {}, {}
@@ -250,10 +254,10 @@ def _alike_blocks(percent: int):
                     differ += np.bitwise_count(one[:, k, None] ^ two[None, :, k])
                 apart = (la[:, None] != lb[None, :]) & (ka[:, None] != kb[None, :])
                 for i, j in _forest((differ <= _may_differ(na[:, None], nb[None, :], percent)) & apart):
-                    if joined.join(a[i]["known"], b[j]["known"]):
-                        left.append(a[i]["cls"])
-                        right.append(b[j]["cls"])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+                    joined.join(a[i]["known"], b[j]["known"])
+                if joined.full():
+                    yield joined.links()
+        yield joined.links()
 
     return run
 
@@ -301,12 +305,11 @@ def _exact(percent: int):
 
 
 def _block_pairs(percent: int):
-    """Links between two blocks of sets: of all blocks in a task, as many as connect the labels that they connect."""
+    """Links of labels between blocks of sets: over all blocks of a task, each label with the smallest that it is connected to."""
 
     def run(batches):
         joined = _Joined()
         for batch in batches:
-            left, right = [], []
             for a, b in zip(batch.column("mine").to_pylist(), batch.column("theirs").to_pylist(), strict=True):
                 one, two = [np.frombuffer(x["set"], np.uint64) for x in a], [np.frombuffer(x["set"], np.uint64) for x in b]
                 na, nb = np.array([len(x) for x in one]), np.array([len(x) for x in two])
@@ -325,10 +328,10 @@ def _block_pairs(percent: int):
                     shared += grid(one) @ grid(two).T
                 linked = 100 * shared >= percent * (na[:, None] + nb[None, :] - shared)
                 for i, j in zip(*np.nonzero(linked), strict=True):
-                    if joined.join(a[i]["label"], b[j]["label"]):
-                        left.append(a[i]["cls"])
-                        right.append(b[j]["cls"])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+                    joined.join(a[i]["label"], b[j]["label"])
+                if joined.full():
+                    yield joined.links()
+        yield joined.links()
 
     return run
 
@@ -381,7 +384,7 @@ def _family_links(long: DataFrame, bits: DataFrame, labels: DataFrame, sets_of,
     bits = bits.select("cls", "bits")
     once = left.select(F.col("longest").alias("value"), "cls", "n", "label", F.col("cls").alias("known"))
     first = _meetings(once, "value", bits, _alike_blocks(percent), percent, BITMAPS)
-    known = components(first).select(F.col("node").alias("cls"), F.col("label").alias("known"))
+    known = first.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("known"))  # what tasks connect further, the second time finds again
     entries = left.join(known, "cls", "left").select(F.explode("lists").alias("value"), "cls", "n", "label", F.coalesce("known", "cls").alias("known"))
     near = _meetings(entries, "value", bits, _alike_blocks(percent), percent, BITMAPS)
     family = components(first.unionByName(near)).select(F.col("node").alias("cls"), F.col("label").alias("family"))
