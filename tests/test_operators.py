@@ -130,6 +130,14 @@ def test_similarity_join_in_blocks(spark, monkeypatch, least):
     assert got == pytest.approx(want) and len(want) > 40
 
 
+def test_similarity_join_of_equal_hashes(spark):
+    one, two = "3s05flz6" + "a" * 24 + "c6jq11as" + "a" * 24, "2sgzu0ta" + "a" * 24 + '[apfej">' + "a" * 24
+    rows = spark.createDataFrame([(1, [one, two]), (2, [two, one]), (3, [one, "x"]), (4, [two, "x"]), (5, [one, "y", "z"])], "id long, items array<string>")
+    assert rows.select(F.xxhash64(F.lit(one)) == F.xxhash64(F.lit(two))).first()[0]
+    got = {(r["i"], r["j"]): r["similarity"] for r in P.similarity_join(rows, 0.5).collect()}
+    assert got == {(1, 2): 1.0}
+
+
 def test_top_pairs(spark):
     rows = random_sets(4)
     want = sorted(((-len(set(a) & set(b)) / len(set(a) | set(b)), i, j) for (i, a), (j, b) in itertools.combinations(rows, 2)))[:30]
